@@ -5,12 +5,12 @@
    rest works on classes, so a group of copies of any size is aggregated map-side and then one row.
 2. Each of ``orders`` sorted orders reads the signature from another place. In sorted order the
    neighbours of a class are those with the longest common prefix: a class is paired with its next
-   ``width`` rows if at least ``prefix`` values agree, and in crowded regions, for every depth from
-   ``prefix`` on, with the head of the region that agrees to that depth. Pairs so grow in proportion to
-   the rows. Orders are range-partitioned, a crowded region is cut anywhere; the rows at the
+   ``width`` rows if at least ``prefix`` values agree, or, where that region is crowded, as many values
+   as leave a region of ``crowd`` rows; and for every depth with the head of its region. Pairs so grow
+   in proportion to the rows; those whose set sizes rule out a link are not made. Orders are range-partitioned, a crowded region is cut anywhere; the rows at the
    partitions' edges are paired in a second small pass.
-3. Pairs are confirmed on full sets, computed again from the texts of the classes concerned: first the
-   best pair of each class, then those pairs whose classes are not yet connected.
+3. Pairs are confirmed on full sets, computed again from the texts of the classes concerned: first for
+   each class its best partner and its smallest, then those pairs whose classes are not yet connected.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts without words (null,
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
@@ -81,70 +81,70 @@ def _sign(size: int, k: int, seed: int):
     return run
 
 
-def _neighbours(prefix: int, depth: int, width: int):
+def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: int):
     """Rows sorted by (o, key, id) -> pairs (kind 0: a, b) and the partition's edge rows (kind 1)."""
-    names = ["kind", "o", "key", "a", "b"]
+    names = ["kind", "o", "key", "n", "a", "b"]
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         m = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
 
-    def edges(o: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    def edges(o: np.ndarray, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         m = len(o)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(o.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids), pa.nulls(m, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(o.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(ids), pa.nulls(m, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o0, k0, i0 = np.zeros(0, np.int32), np.zeros((0, depth), np.uint32), np.zeros(0, np.int64)
-        heads, since = None, None  # per depth: id of the region's head, rows since
-        first = True
+        o0, k0, n0, i0 = np.zeros(0, np.int32), np.zeros((0, depth), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        heads: dict[int, tuple[int, int, int]] = {}  # per depth: id and size of the region's head, rows since
+        near = lambda x, y: of * np.minimum(x, y) >= per * np.maximum(x, y)  # noqa: E731  sets too unlike in size can't link
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
             key = np.frombuffer(flat(batch.column("key"))[0], np.uint32).reshape(m, depth)
-            o, ids = batch.column("o").to_numpy(), batch.column("id").to_numpy()
-            if first:
-                yield edges(o[:width], key[:width], ids[:width])
-                first = False
+            o, n, ids = (batch.column(c).to_numpy() for c in ("o", "n", "id"))
+            if not heads:
+                yield edges(o[:width], key[:width], n[:width], ids[:width])
             h = len(o0)
-            o, key, ids = np.concatenate((o0, o)), np.concatenate((k0, key)), np.concatenate((i0, ids))
+            o, key, n, ids = np.concatenate((o0, o)), np.concatenate((k0, key)), np.concatenate((n0, n)), np.concatenate((i0, ids))
             at = np.arange(h, len(o))
+            agree = np.zeros((m, depth), bool)  # with the row before
+            x = at[at >= 1]
+            agree[x - h] = (key[x] == key[x - 1]) & (o[x] == o[x - 1])[:, None]
+            common = np.cumprod(agree, axis=1).sum(axis=1)
+            need = np.full(m, depth)  # the depth at which a row's region is no crowd
+            for d in range(depth, prefix - 1, -1):
+                begin = np.maximum.accumulate(np.where(common < d, np.arange(m), -1))
+                head, size, since = heads.get(d, (int(ids[h]), int(n[h]), 0))
+                old, place = begin < 0, np.arange(m) - begin
+                first = ids[h:][np.maximum(begin, 0)]
+                first, size_of, place = np.where(old, head, first), np.where(old, size, n[h:][np.maximum(begin, 0)]), np.where(old, since + np.arange(m), place)
+                far = (place > width) & (first != ids[h:]) & near(size_of, n[h:])
+                if far.any():
+                    yield pairs(first[far], ids[h:][far])
+                need[place <= crowd] = d
+                heads[d] = int(first[-1]), int(size_of[-1]), int(place[-1]) + 1
             for lag in range(1, width + 1):
                 x = at[at >= lag]
-                same = (o[x] == o[x - lag]) & (key[x, :prefix] == key[x - lag, :prefix]).all(axis=1) & (ids[x] != ids[x - lag])
+                equal = np.cumprod((key[x] == key[x - lag]) & (o[x] == o[x - lag])[:, None], axis=1).sum(axis=1)
+                same = (equal >= need[x - h]) & (ids[x] != ids[x - lag]) & near(n[x], n[x - lag])
                 if same.any():
                     yield pairs(ids[x[same] - lag], ids[x[same]])
-            # common prefix with the row before
-            agree = np.zeros((m, depth), bool)
-            x = at[at >= 1]
-            agree[x - h] = (key[x] == key[x - 1]) & (o[x] == o[x - 1])[:, None]
-            lcp = np.cumprod(agree, axis=1).sum(axis=1)
-            for d in range(prefix, depth + 1):
-                fresh = lcp < d
-                begin = np.maximum.accumulate(np.where(fresh, np.arange(m), -1))
-                if heads is None:
-                    heads, since = {}, {}
-                head = np.where(begin >= 0, ids[h:][np.maximum(begin, 0)], heads.get(d, ids[h]))
-                place = np.where(begin >= 0, np.arange(m) - begin, since.get(d, 0) + np.arange(m))
-                far = (place > width) & (head != ids[h:])
-                if far.any():
-                    yield pairs(head[far], ids[h:][far])
-                heads[d], since[d] = head[-1], place[-1] + 1
-            o0, k0, i0 = o[-width:], key[-width:], ids[-width:]
+            o0, k0, n0, i0 = o[-width:], key[-width:], n[-width:], ids[-width:]
         if len(o0):
-            yield edges(o0, k0, i0)
+            yield edges(o0, k0, n0, i0)
 
     return run
 
 
-def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, width: int) -> DataFrame:
-    """``classes(id, sig)`` -> pairs ``(a, b, found)``, a < b, with the number of orders that found them."""
-    sig = "concat(sig, sig)"
-    forest = classes.select("id", F.explode(F.expr(f"transform(sequence(0, {orders - 1}), o -> named_struct('o', o, 'key', substr({sig}, o * {4 * prefix} + 1, {4 * depth})))")).alias("x")).select(F.col("x.o").cast("int").alias("o"), "x.key", "id")
-    schema = "kind byte, o int, key binary, a long, b long"
-    walk = _neighbours(prefix, depth, width)
+def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, width: int, crowd: int, per: int, of: int) -> DataFrame:
+    """``classes(id, n, sig)`` -> pairs ``(a, b, found)``, a < b, with the number of orders that found them."""
+    key = f"substr(concat(sig, sig), o * {4 * prefix} + 1, {4 * depth})"
+    forest = classes.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {orders - 1}), o -> named_struct('o', o, 'key', {key}))")).alias("x")).select(F.col("x.o").cast("int").alias("o"), "x.key", "n", "id")
+    schema = "kind byte, o int, key binary, n long, a long, b long"
+    walk = _neighbours(prefix, depth, width, crowd, per, of)
     found = saved(forest.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "forest")
-    borders = found.where("kind = 1").select("o", "key", F.col("a").alias("id")).distinct()
+    borders = found.where("kind = 1").select("o", "key", "n", F.col("a").alias("id")).distinct()
     # a few rows per partition of the pass before
     more = borders.coalesce(1).sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema)
     return found.union(more).where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("found"))
@@ -200,7 +200,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int)
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per: int = 80, of: int = 100,
-    orders: int = 20, prefix: int = 4, depth: int = 6, width: int = 6, seed: int = 7,
+    orders: int = 20, prefix: int = 4, depth: int = 6, width: int = 6, crowd: int = 32, seed: int = 7,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row per input row. Rows link if
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8
@@ -208,10 +208,11 @@ def near_duplicates(
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures")
     known = signed.where("n > 0 and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
-    pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "sig"), orders, prefix, depth, width), "pairs")
+    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "n", "sig"), orders, prefix, depth, width, crowd, per, of), "pairs")
     texts = texts.where("id is not null")
-    best = pairs.groupBy(F.col("b")).agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("a")).select("a", "b")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("x"), F.min("a").alias("y"))
+    best = best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
     first = saved(confirmed(best, texts, words, per, of), "links")
     known_so_far = connected_components(first)
     side = lambda c: known_so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
