@@ -1,35 +1,10 @@
-"""Working tables in the folder that driver and executors share.
-
-``spark.checkpoint.dir`` names it. Where the setting is absent, a local master gets a temporary
-folder of its own (tests); on a cluster that is an error, as no local folder would be shared.
-"""
+"""Working tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared working folder of this application."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        found = sc._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else ""
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = _LOCAL.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return f"{base.rstrip('/')}/work-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..sources.paths import new_path, shared_dir
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
