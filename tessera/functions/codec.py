@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Seed and multiplier of the byte hash, bits per key of a filter, probes, and the
 #: restart interval of blocks.
@@ -115,7 +116,7 @@ def bloom_match(keys: DataFrame, filters: DataFrame, by: str) -> DataFrame:
     return hit.groupBy(by, "k").agg(F.bool_and(ok).alias("may_match"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of binary values; there is no built-in."""
     table = []
