@@ -2,9 +2,8 @@
 
 ``encode`` splits texts into pre-tokens, keeps for each chunk of documents (at most ``chunk_bytes``
 of text, or one longer document) its distinct pre-tokens and, per document, the positions as indices
-into them. Only distinct pre-tokens are shuffled: hash-partitioned by the word, so each distinct word
-of the corpus is encoded once; the ids return to their chunk, where documents are reassembled by
-position. ``decode`` joins the token-byte table on the map side: its size is that of the vocabulary.
+into them. Distinct pre-tokens are shuffled by buckets of their hash, so each distinct word of the
+corpus is encoded once; the ids return to their chunk, where documents are reassembled by position. ``decode`` joins the token-byte table on the map side: its size is that of the vocabulary.
 
 Rows: a null text counts as empty and gives no ids; repeated rows are encoded each; extra columns
 are left out of the result and may have any name; an empty table gives an empty result. The chunks
@@ -26,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import PIECE, blocks, flat, span_hashes
+from .hashing import PIECE, U64, blocks, flat, span_hashes
 
+#: Buckets of word hashes: what is encoded together. Pre-tokens of documents in one row, about.
+BUCKET_BITS = 10
+BUCKETS, GROUP = 1 << BUCKET_BITS, 1 << 16
 #: Classes of characters in the splitting pattern.
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 #: The endings that the pattern splits off after an apostrophe.
@@ -129,44 +131,55 @@ def _split(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return lead[keep]
 
 
-def _pack(index: np.ndarray) -> bytes:
-    """Four byte planes of the indices, compressed: most chunks leave two of them empty."""
-    return zlib.compress(index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack(*numbers: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays below 2**32, each as four planes of bytes, most of which are nearly empty, and a tail."""
+    planes = [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in numbers]
+    return zlib.compress(np.array([len(x) for x in numbers], "<u4").tobytes() + b"".join(planes) + tail, 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpack(data: bytes, arrays: int) -> tuple:
+    """The arrays and the tail that :func:`_pack` took."""
+    raw = zlib.decompress(data)
+    at, out = 4 * arrays, []
+    for n in np.frombuffer(raw, "<u4", arrays).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, -1).T).view("<u4").ravel())
+        at += 4 * n
+    return (*out, raw[at:])
 
 
-def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want: str) -> Iterator[tuple]:
-    """Arrow columns (chunk, no, words, id, payload) of one chunk: its words or its documents."""
+def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want: str) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk: its distinct words, one row per bucket of their hashes, or its documents.
+
+    Words are in the order of their hashes; documents refer to them in the order of how often they occur
+    (to a power of two), so that indices are small. The row ``BUCKETS`` has those powers.
+    """
     starts = split(buf, offsets)
     ends = np.append(starts[1:], len(buf))
-    _, first, back, count = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    first, n = first[order], len(order)
+    hashes, first, back, count = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    n = len(hashes)
     if want == "words":
-        data = buf.tobytes()
+        data, size = buf.tobytes(), ends[first] - starts[first]
         words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        yield from _rows(chunk, np.arange(n), pa.nulls(n, ids.type), words, n)
+        cut = np.searchsorted(hashes >> U64(64 - BUCKET_BITS), np.arange(BUCKETS + 1, dtype=U64)).tolist()
+        some = [k for k in range(BUCKETS) if cut[k] < cut[k + 1]]
+        yield _rows(chunk, some, n, ids.type, [None] * len(some), [_pack(size[cut[k] : cut[k + 1]], tail=b"".join(words[cut[k] : cut[k + 1]])) for k in some])
         return
     check = span_hashes(buf, starts, ends, seed=1)
-    index = place[back]
-    if (check != check[first][index]).any():
+    if (check != check[first][back]).any():
         raise RuntimeError("two words share a hash")
-    cut = np.searchsorted(starts, offsets)
-    for lo in range(0, len(ids), 512):
-        hi = min(lo + 512, len(ids))
-        yield from _rows(chunk, n + np.arange(lo, hi), ids[lo:hi], [_pack(index[cut[i] : cut[i + 1]]) for i in range(lo, hi)], n)
+    power = np.frexp(count)[1]
+    order = np.argsort(-power, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    index, cut = place[back], np.searchsorted(starts, offsets)
+    yield _rows(chunk, [BUCKETS], n, ids.type, [None], [_pack(power)])
+    for no, (i, j) in enumerate(blocks(cut, GROUP)):
+        yield _rows(chunk, [BUCKETS + 1 + no], n, ids.type, [ids[i:j].to_pylist()], [_pack(np.diff(cut[i : j + 1]), index[cut[i] : cut[j]])])
 
 
-def _rows(chunk: int, no: np.ndarray, ids: pa.Array, payload: list, words: int) -> Iterator[tuple]:
-    for lo in range(0, len(no), 50_000):
-        part = slice(lo, lo + 50_000)
-        m = len(no[part])
-        yield pa.array(np.full(m, chunk, np.int64)), pa.array(no[part].astype(np.int32)), pa.array(np.full(m, words, np.int32)), ids[part], pa.array(payload[part], pa.binary())
+def _rows(chunk: int, no: list[int], words: int, kind: pa.DataType, ids: list, payload: list[bytes]) -> pa.RecordBatch:
+    m = len(no)
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), pa.array(no, pa.int32()), pa.array([words] * m, pa.int32()), pa.array(ids, pa.list_(kind)), pa.array(payload, pa.binary())], names=["chunk", "no", "words", "ids", "payload"])
 
 
 def _name(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> int:
@@ -181,28 +194,36 @@ def _splitter(chunk_bytes: int, want: str):
     """Chunks of a partition. ``want``: 'words' or 'documents', the other kind is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "no", "words", "id", "payload"]
         for batch in batches:
             buf, off, _ = flat(batch.column(1))
             for i, j in blocks(off, chunk_bytes):
                 part, own, ids = buf[off[i] : off[j]], off[i : j + 1] - off[i], batch.column(0)[i:j]
-                for columns in _chunk(part, own, ids, _name(part, own, ids), want):
-                    yield pa.RecordBatch.from_arrays(list(columns), names=names)
+                yield from _chunk(part, own, ids, _name(part, own, ids), want)
 
     return run
 
 
 def _encoder(path: str, pattern: str):
-    """Sorted words -> ids; a word is encoded when it differs from the one before it."""
+    """Buckets of words, sorted by bucket -> the words' numbers of ids and the ids. A word is always in
+    the same bucket, so each distinct word of the corpus is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, word, ids = _encoding(path, pattern)._core_bpe, None, b""
+        enc, bucket, known = _encoding(path, pattern)._core_bpe, None, {}
         for batch in batches:
             out = []
-            for w in batch.column("payload").to_pylist():
-                if w != word:
-                    word, ids = w, np.array(enc.encode_single_piece(w), "<u4").tobytes()
-                out.append(ids)
+            for no, payload in zip(batch.column("no").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if no != bucket:
+                    bucket, known = no, {}
+                size, data = _unpack(payload, 1)
+                stop = np.cumsum(size.astype(np.int64)).tolist()
+                found = []
+                for a, b in zip([0, *stop[:-1]], stop, strict=True):
+                    w = data[a:b]
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = enc.encode_single_piece(w)
+                    found.append(ids)
+                out.append(_pack(np.array([len(x) for x in found]), np.array([i for x in found for i in x], np.int64)))
             yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
 
     return run
@@ -210,29 +231,35 @@ def _encoder(path: str, pattern: str):
 
 def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A chunk's words, in order, then its documents: ids by position."""
-    chunk, parts, last, table, sizes, begin = None, [], -1, None, None, None
+    chunk, parts, last, sizes, begin, table = None, [], -1, None, None, None
     for batch in batches:
-        ids, packed = [], []
-        for c, no, words, i, payload in zip(*(batch.column(x).to_pylist() for x in ("chunk", "no", "words", "id", "payload")), strict=True):
+        kind = batch.schema.field("ids").type.value_type
+        for c, no, words, ids, payload in zip(*(batch.column(x).to_pylist() for x in ("chunk", "no", "words", "ids", "payload")), strict=True):
             if c != chunk:
                 chunk, parts, last, table = c, [], -1, None
-            if no < words:
-                if no > last:  # else the input holds the same rows again
-                    parts.append(payload)
-                    last = no
+            if no <= BUCKETS:
+                if no == last:  # the input holds the same rows again
+                    continue
+                last = no
+                if no < BUCKETS:
+                    parts.append(_unpack(payload, 2)[:2])
+                    continue
+                sizes = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
+                power = _unpack(payload, 1)[0].astype(np.int64)
+                if len(sizes) != words or len(power) != words:
+                    raise RuntimeError(f"chunk {c} has {len(sizes)} of {words} words: the input's order isn't repeatable")
+                table = np.concatenate([np.zeros(0, "<u4"), *(p[1] for p in parts)]).astype("<u4")
+                order = np.argsort(-power, kind="stable")
+                begin = (np.cumsum(sizes) - sizes)[order]
+                sizes, parts = sizes[order], []
                 continue
             if table is None:
-                if len(parts) != words:
-                    raise RuntimeError(f"chunk {c} has {len(parts)} of {words} words: the input's order isn't repeatable")
-                sizes = np.array([len(p) // 4 for p in parts], np.int64)
-                begin = np.cumsum(sizes) - sizes
-                table = np.frombuffer(b"".join(parts), "<u4")
-            index = _unpack(payload)
+                raise RuntimeError(f"chunk {c} lacks its words")
+            count, index, _ = _unpack(payload, 2)
             n = sizes[index]
-            at = np.repeat(begin[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            ids.append(i)
-            packed.append(table[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(packed, pa.binary())], names=["id", "ids"])
+            flat_ids = table[np.repeat(begin[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(count.astype(np.int64))))].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([flat_ids[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], names=["id", "ids"])
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
@@ -242,11 +269,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     ``pattern`` must be the one that :func:`split` implements.
     """
     kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("id", kind), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("payload", T.BinaryType())])
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     words = source.mapInArrow(_splitter(chunk_bytes, "words"), schema)
     documents = source.mapInArrow(_splitter(chunk_bytes, "documents"), schema)
-    encoded = words.repartition("payload").sortWithinPartitions("payload").mapInArrow(_encoder(ranks_path, pattern), schema)
+    encoded = words.repartition("no").sortWithinPartitions("no").mapInArrow(_encoder(ranks_path, pattern), schema)
     together = encoded.union(documents).repartition("chunk").sortWithinPartitions("chunk", "no")
     out = together.mapInArrow(_assembler, T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
     return out.select(F.col("id").alias(id_col), "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
