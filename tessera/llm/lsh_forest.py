@@ -192,7 +192,7 @@ def _confirm(per: int, of: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that hold on the full sets of ``texts(id, text)``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = _sieved(texts, wanted).select("id", "text").mapInArrow(_pack_sets(size), "id long, set binary")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(per, of), "a long, b long").distinct()
@@ -218,7 +218,7 @@ def near_duplicates(
     side = lambda c: known_so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = saved(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
-    links = first.union(confirmed(rest, texts, words, per, of))
+    links = first.union(saved(confirmed(rest, texts, words, per, of), "links"))
     copies = known.join(classes.select("digest", "rep"), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = _attach(links, copies)
     out = signed.select("id", "n").join(found.select(F.col("node").alias("id"), F.col("component")), "id", "left")
@@ -230,7 +230,7 @@ def _attach(links: DataFrame, copies: DataFrame) -> DataFrame:
     """Components of links and copies together: copies hang on their class, which is enough unless
     an id has several texts; then all edges count alike."""
     copies = saved(copies.distinct(), "copies")
-    if copies.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").isEmpty() and copies.join(copies.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and copies.join(links.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_semi").isEmpty():
+    if copies.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").isEmpty() and copies.join(copies.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and copies.join(links.select("a").union(links.select("b")).distinct(), "a", "left_semi").isEmpty():
         roots = connected_components(links)
         hung = copies.join(roots.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
         return roots.union(hung)
