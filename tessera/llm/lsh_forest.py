@@ -212,7 +212,7 @@ def near_duplicates(
     pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "n", "sig"), orders, prefix, depth, width, crowd, per, of), "pairs")
     texts = texts.where("id is not null")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("x"), F.min("a").alias("y"))
-    best = best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+    best = saved(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "best")
     first = saved(confirmed(best, texts, words, per, of), "links")
     known_so_far = connected_components(first)
     side = lambda c: known_so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
