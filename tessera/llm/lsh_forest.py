@@ -4,7 +4,7 @@
    set and a MinHash signature. Rows with equal sets are one class, named by its smallest id; the
    rest works on classes, so a group of copies of any size is aggregated map-side and then one row.
 2. Each of ``orders`` sorted orders reads the signature from another place. In sorted order the
-   neighbours of a class are those with the longest common prefix: a class is paired with its next
+   neighbours of a class are those with the longest common prefix, of up to ``reach`` values: a class is paired with its next
    ``width`` rows if at least ``prefix`` values agree, or, where that region is crowded, as many values
    as leave a region of ``crowd`` rows; and for every depth with the head of its region. Pairs so grow
    in proportion to the rows; those whose set sizes rule out a link are not made. Orders are range-partitioned, a crowded region is cut anywhere; the rows at the
@@ -81,7 +81,7 @@ def _sign(size: int, k: int, seed: int):
     return run
 
 
-def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: int):
+def _neighbours(prefix: int, depth: int, reach: int, width: int, crowd: int, per: int, of: int):
     """Rows sorted by (o, key, id) -> pairs (kind 0: a, b) and the partition's edge rows (kind 1)."""
     names = ["kind", "o", "key", "n", "a", "b"]
 
@@ -94,14 +94,14 @@ def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: i
         return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(o.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(ids), pa.nulls(m, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o0, k0, n0, i0 = np.zeros(0, np.int32), np.zeros((0, depth), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        o0, k0, n0, i0 = np.zeros(0, np.int32), np.zeros((0, reach), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         heads: dict[int, tuple[int, int, int]] = {}  # per depth: id and size of the region's head, rows since
         near = lambda x, y: of * np.minimum(x, y) >= per * np.maximum(x, y)  # noqa: E731  sets too unlike in size can't link
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            key = np.frombuffer(flat(batch.column("key"))[0], np.uint32).reshape(m, depth)
+            key = np.frombuffer(flat(batch.column("key"))[0], np.uint32).reshape(m, reach)
             o, n, ids = (batch.column(c).to_numpy() for c in ("o", "n", "id"))
             if not heads:
                 yield edges(o[:width], key[:width], n[:width], ids[:width])
@@ -110,7 +110,7 @@ def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: i
             at = np.arange(h, len(o))
             agree = np.zeros((m, depth), bool)  # with the row before
             x = at[at >= 1]
-            agree[x - h] = (key[x] == key[x - 1]) & (o[x] == o[x - 1])[:, None]
+            agree[x - h] = (key[x, :depth] == key[x - 1, :depth]) & (o[x] == o[x - 1])[:, None]
             common = np.cumprod(agree, axis=1).sum(axis=1)
             need = np.full(m, depth)  # the depth at which a row's region is no crowd
             for d in range(depth, prefix - 1, -1):
@@ -126,7 +126,7 @@ def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: i
                 heads[d] = int(first[-1]), int(size_of[-1]), int(place[-1]) + 1
             for lag in range(1, width + 1):
                 x = at[at >= lag]
-                equal = np.cumprod((key[x] == key[x - lag]) & (o[x] == o[x - lag])[:, None], axis=1).sum(axis=1)
+                equal = np.cumprod((key[x, :depth] == key[x - lag, :depth]) & (o[x] == o[x - lag])[:, None], axis=1).sum(axis=1)
                 same = (equal >= need[x - h]) & (ids[x] != ids[x - lag]) & near(n[x], n[x - lag])
                 if same.any():
                     yield pairs(ids[x[same] - lag], ids[x[same]])
@@ -137,12 +137,12 @@ def _neighbours(prefix: int, depth: int, width: int, crowd: int, per: int, of: i
     return run
 
 
-def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, width: int, crowd: int, per: int, of: int) -> DataFrame:
+def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, reach: int, width: int, crowd: int, per: int, of: int) -> DataFrame:
     """``classes(id, n, sig)`` -> pairs ``(a, b, found)``, a < b, with the number of orders that found them."""
-    key = f"substr(concat(sig, sig), o * {4 * prefix} + 1, {4 * depth})"
+    key = f"substr(concat(sig, sig), o * {4 * prefix} + 1, {4 * reach})"
     forest = classes.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {orders - 1}), o -> named_struct('o', o, 'key', {key}))")).alias("x")).select(F.col("x.o").cast("int").alias("o"), "x.key", "n", "id")
     schema = "kind byte, o int, key binary, n long, a long, b long"
-    walk = _neighbours(prefix, depth, width, crowd, per, of)
+    walk = _neighbours(prefix, depth, reach, width, crowd, per, of)
     found = saved(forest.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "forest")
     borders = found.where("kind = 1").select("o", "key", "n", F.col("a").alias("id")).distinct()
     # a few rows per partition of the pass before
@@ -200,7 +200,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int)
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per: int = 80, of: int = 100,
-    orders: int = 20, prefix: int = 4, depth: int = 6, width: int = 6, crowd: int = 32, seed: int = 7,
+    orders: int = 20, prefix: int = 4, depth: int = 6, reach: int = 16, width: int = 12, crowd: int = 32, seed: int = 7,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row per input row. Rows link if
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8
@@ -209,7 +209,7 @@ def near_duplicates(
     signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures")
     known = signed.where("n > 0 and id is not null")
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "n", "sig"), orders, prefix, depth, width, crowd, per, of), "pairs")
+    pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "n", "sig"), orders, prefix, depth, reach, width, crowd, per, of), "pairs")
     texts = texts.where("id is not null")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("x"), F.min("a").alias("y"))
     best = saved(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "best")
