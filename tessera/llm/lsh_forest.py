@@ -6,11 +6,17 @@
 2. Each of ``orders`` sorted orders reads the signature from another place. In sorted order the
    neighbours of a class are those with the longest common prefix, of up to ``reach`` values: a class is paired with its next
    ``width`` rows if at least ``prefix`` values agree, or, where that region is crowded, as many values
-   as leave a region of ``crowd`` rows; and for every depth with the head of its region. Pairs so grow
+   as leave a region of ``crowd`` rows; and with the head of its region of ``depth`` values. Pairs so grow
    in proportion to the rows; those whose set sizes rule out a link are not made. Orders are range-partitioned, a crowded region is cut anywhere; the rows at the
    partitions' edges are paired in a second small pass.
 3. Pairs are confirmed on full sets, computed again from the texts of the classes concerned: first for
    each class its best partner and its smallest, then those pairs whose classes are not yet connected.
+4. The sweep makes the width no cap: in every region of ``prefix`` values with more rows than ``width``
+   pairs exhaustively, the rows outside the region's largest component so far are compared with all its
+   rows of other components, in square blocks of bounded size, by their ``low`` smallest shingle hashes
+   (of most texts the whole set, so that the comparison is exact); what may link is confirmed like the
+   rest. So each two rows that share a region end connected if they link. Its arithmetic grows with the
+   product of those two counts; the rows it makes do not.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts without words (null,
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
@@ -36,6 +42,10 @@ from .store import saved
 BLOCK = 4 << 20
 #: Rows of the sieve table that is broadcast, at most: 64 bits each, 4 MB in all.
 SIEVE = 1 << 18
+#: Rows on each side of a square block of the sweep, about.
+SIDE = 1024
+#: Parts into which a region's rows are dealt where its figures are joined to them.
+SALTS = 32
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -82,16 +92,17 @@ def _sign(size: int, k: int, seed: int):
 
 
 def _neighbours(prefix: int, depth: int, reach: int, width: int, crowd: int, per: int, of: int):
-    """Rows sorted by (o, key, id) -> pairs (kind 0: a, b) and the partition's edge rows (kind 1)."""
+    """Rows sorted by (o, key, id) -> pairs (kind 0: a, b), the partition's edge rows (kind 1) and the
+    regions of ``prefix`` values that hold more rows than are paired exhaustively (kind 2: o, key)."""
     names = ["kind", "o", "key", "n", "a", "b"]
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         m = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
 
-    def edges(o: np.ndarray, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    def edges(o: np.ndarray, keys: np.ndarray, n: np.ndarray, ids: np.ndarray, kind: int = 1) -> pa.RecordBatch:
         m = len(o)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(o.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(ids), pa.nulls(m, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(o.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(ids), pa.nulls(m, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o0, k0, n0, i0 = np.zeros(0, np.int32), np.zeros((0, reach), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -120,9 +131,12 @@ def _neighbours(prefix: int, depth: int, reach: int, width: int, crowd: int, per
                 first = ids[h:][np.maximum(begin, 0)]
                 first, size_of, place = np.where(old, head, first), np.where(old, size, n[h:][np.maximum(begin, 0)]), np.where(old, since + np.arange(m), place)
                 far = (place > width) & (first != ids[h:]) & near(size_of, n[h:])
-                if far.any():
+                if d == depth and far.any():
                     yield pairs(first[far], ids[h:][far])
                 need[place <= crowd] = d
+                full = place == width
+                if d == prefix and full.any():  # a region cut by a partition's end has its mark on one side or in the pass over edges
+                    yield edges(o[h:][full], key[h:][full, :prefix], n[h:][full], ids[h:][full], 2)
                 heads[d] = int(first[-1]), int(size_of[-1]), int(place[-1]) + 1
             for lag in range(1, width + 1):
                 x = at[at >= lag]
@@ -137,8 +151,9 @@ def _neighbours(prefix: int, depth: int, reach: int, width: int, crowd: int, per
     return run
 
 
-def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, reach: int, width: int, crowd: int, per: int, of: int) -> DataFrame:
-    """``classes(id, n, sig)`` -> pairs ``(a, b, found)``, a < b, with the number of orders that found them."""
+def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, reach: int, width: int, crowd: int, per: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """``classes(id, n, sig)`` -> pairs ``(a, b, found)``, a < b, with the number of orders that found them,
+    and the crowded regions ``(region)``."""
     key = f"substr(concat(sig, sig), o * {4 * prefix} + 1, {4 * reach})"
     forest = classes.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {orders - 1}), o -> named_struct('o', o, 'key', {key}))")).alias("x")).select(F.col("x.o").cast("int").alias("o"), "x.key", "n", "id")
     schema = "kind byte, o int, key binary, n long, a long, b long"
@@ -146,20 +161,94 @@ def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, reach:
     found = saved(forest.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "forest")
     borders = found.where("kind = 1").select("o", "key", "n", F.col("a").alias("id")).distinct()
     # a few rows per partition of the pass before
-    more = borders.coalesce(1).sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema)
-    return found.union(more).where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("found"))
+    more = saved(borders.coalesce(1).sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "borders")
+    both = found.union(more)
+    return both.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("found")), both.where("kind = 2").select(F.xxhash64("o", "key").alias("region")).distinct()
 
 
-def _sieved(df: DataFrame, wanted: DataFrame, bits: int = SIEVE) -> DataFrame:
-    """Rows of ``df`` whose ``id`` may be in ``wanted(id)``: one hash into a bitmap of at most
-    ``SIEVE`` rows of 64 bits, whatever the number of ids. It only spares a later join; it decides nothing."""
-    h = F.xxhash64("id")
-    mark = F.expr("shiftleft(1L, cast(shiftright(xxhash64(id), 32) & 63L as int))")
+def _sieved(df: DataFrame, wanted: DataFrame, col: str = "id", bits: int = SIEVE) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be in ``wanted(col)``: one hash into a bitmap of at most
+    ``SIEVE`` rows of 64 bits, whatever the number of values. It only spares a later join; it decides nothing."""
+    h = F.xxhash64(col)
+    mark = F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({col}), 32) & 63L as int))")
     word = F.pmod(h, F.lit(bits))
     table = wanted.select(word.alias("_w"), mark.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
     return df.withColumns({"_w": word, "_b": mark}).join(F.broadcast(table), "_w").where("(_m & _b) <> 0").drop("_w", "_m", "_b")
 
 
+def _lowest(size: int, low: int):
+    """Texts -> number of shingles and the ``low`` smallest of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off, _ = flat(batch.column(1))
+            for i, j in blocks(off, BLOCK):
+                sets = list(shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:low].tobytes() for s in sets], pa.binary())], names=["id", "n", "low"])
+
+    return run
+
+
+def _sweep(low: int, per: int, of: int):
+    """A square block of one region -> pairs of different components that may link: exactly those that do
+    where both sets are whole, else those within five standard deviations of the bound."""
+    least = per / of - 5 * (per / of * (1 - per / of) / low) ** 0.5
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, n, comp, stray = (block.column(c).to_numpy() for c in ("id", "n", "component", "stray"))
+        buf, off, _ = flat(block.column("low"))
+        values, codes = np.unique(np.frombuffer(buf.tobytes(), U64), return_inverse=True)
+        off = off // 8
+        count, whole = np.diff(off), len(values)
+        reach = np.where(n > count, codes[np.maximum(off[1:], 1) - 1], whole)  # hashes up to here are all known
+        rows = np.flatnonzero(~stray & (count > 0))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(rows):
+            own = np.repeat(~stray, count)
+            body, starts = codes[own], np.concatenate(([0], np.cumsum(count[rows])[:-1]))
+            all_whole = (reach[rows] == whole).all()
+            marked = np.zeros(whole, bool)
+            for x in np.flatnonzero(stray & (count > 0)):
+                mine = codes[off[x] : off[x + 1]]
+                marked[mine] = True
+                hit, top, theirs, ours = marked[body], np.minimum(reach[rows], reach[x]), count[rows], count[x]
+                if not (all_whole and reach[x] == whole):
+                    under = body <= np.repeat(top, count[rows])
+                    hit &= under
+                    theirs, ours = np.add.reduceat(under, starts, dtype=np.int64), np.searchsorted(mine, top, "right")
+                common = np.add.reduceat(hit, starts, dtype=np.int64)
+                union = theirs + ours - common
+                ok = (comp[rows] != comp[x]) & np.where(top == whole, of * common >= per * union, common >= least * union)
+                a.append(np.minimum(ids[rows[ok]], ids[x]))
+                b.append(np.maximum(ids[rows[ok]], ids[x]))
+                marked[mine] = False
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, components: DataFrame, orders: int, prefix: int, size: int, low: int, per: int, of: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``classes(id, sig)`` that share one of ``regions``, lie in different
+    ``components(node, component)`` and may link: one of the two is outside the region's largest component.
+    Regions go by a 64-bit hash; two that share it are swept as one."""
+    key = f"transform(sequence(0, {orders - 1}), o -> xxhash64(o, substr(sig, o * {4 * prefix} + 1, {4 * prefix})))"
+    dealt = classes.select("id", F.explode(F.expr(key)).alias("region"))
+    crowded = _sieved(dealt, regions, "region").join(components.select(F.col("node").alias("id"), "component"), "id", "left")
+    crowded = saved(crowded.select("region", "id", F.coalesce("component", "id").alias("component")), "crowded")
+    parts = crowded.groupBy("region", "component").agg(F.count("*").alias("m")).join(regions, "region", "left_semi")
+    figures = parts.groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("m > most")
+    blocks = lambda c: F.ceil(F.expr(c) / SIDE).cast("int")
+    figures = figures.select("region", "main", blocks("m").alias("across"), blocks("m - most").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = saved(crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(figures, ["region", "salt"]), "swept")
+    lowest = _sieved(texts, rows.select("id").distinct()).select("id", "text").mapInArrow(_lowest(size, low), "id long, n long, low binary")
+    side = lambda hashed, out_of: F.pmod(F.xxhash64(F.col("id"), F.lit(hashed)), F.col(out_of)).cast("int")
+    every = lambda out_of: F.explode(F.sequence(F.lit(0), F.col(out_of) - 1))
+    held = ["region", "id", "component"]
+    all_rows = rows.select(*held, F.lit(False).alias("stray"), side(1, "across").alias("x"), every("down").alias("y"))
+    strays = rows.where("component <> main").select(*held, F.lit(True).alias("stray"), every("across").alias("x"), side(2, "down").alias("y"))
+    return all_rows.unionByName(strays).join(lowest, "id").groupBy("region", "x", "y").applyInArrow(_sweep(low, per, of), "a long, b long").distinct()
+
+
 def _pack_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +289,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int)
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per: int = 80, of: int = 100,
-    orders: int = 20, prefix: int = 4, depth: int = 6, reach: int = 16, width: int = 12, crowd: int = 32, seed: int = 7,
+    orders: int = 20, prefix: int = 4, depth: int = 6, reach: int = 16, width: int = 3, crowd: int = 32, low: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row per input row. Rows link if
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8
@@ -208,8 +297,9 @@ def near_duplicates(
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures")
     known = signed.where("n > 0 and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    pairs = saved(candidates(classes.select(F.col("rep").alias("id"), "n", "sig"), orders, prefix, depth, reach, width, crowd, per, of), "pairs")
+    classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", "sig"))), "classes")
+    pairs, regions = candidates(classes, orders, prefix, depth, reach, width, crowd, per, of)
+    pairs = saved(pairs, "pairs")
     texts = texts.where("id is not null")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("x"), F.min("a").alias("y"))
     best = saved(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "best")
@@ -218,8 +308,11 @@ def near_duplicates(
     side = lambda c: known_so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = saved(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
-    links = first.union(saved(confirmed(rest, texts, words, per, of), "links"))
-    copies = known.join(classes.select("digest", "rep"), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    joined = saved(connected_components(first.union(saved(confirmed(rest, texts, words, per, of), "links"))), "joined")
+    strays = stray_pairs(classes, texts, regions, joined, orders, prefix, words, low, per, of).join(pairs, ["a", "b"], "left_anti")
+    strays = saved(confirmed(saved(strays, "strays"), texts, words, per, of), "links")
+    links = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(strays)
+    copies = known.select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = _attach(links, copies)
     out = signed.select("id", "n").join(found.select(F.col("node").alias("id"), F.col("component")), "id", "left")
     component = F.coalesce("component", "id")

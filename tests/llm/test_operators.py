@@ -216,8 +216,11 @@ def test_near_duplicates_are_all_found(spark, docs, words):
         assert (g["n_shingles"], g["component_id"], g["kept"]) == (n, c, r["doc_id"] == c)
 
 
-def test_near_duplicates_in_a_crowd(spark):
-    """A large group of near copies that no bucket may hold at once, and other texts among them."""
+@pytest.mark.parametrize("low, width, side", [(1024, 3, 1024), (40, 1, 50)])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, low, width, side):
+    """A large group of near copies that no bucket may hold at once, and other texts among them; also
+    where all hangs on the sweep, in small blocks and by parts of the sets."""
+    monkeypatch.setattr(lsh_forest, "SIDE", side)
     r = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -229,7 +232,7 @@ def test_near_duplicates_in_a_crowd(spark):
     texts += [" ".join(f"y{r.integers(0, 500)}" for _ in range(100)) for _ in range(50)]
     _, comp = groups_of(range(len(texts)), texts, 2)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(d, words=2).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(d, words=2, low=low, width=width).collect()}
     assert [got[i] for i in range(len(texts))] == comp
 
 
