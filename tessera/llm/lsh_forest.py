@@ -39,7 +39,9 @@ from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
 from .store import saved
 
 #: Bytes of text worked on at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Rows of an Arrow batch of texts or sets.
+BATCH = 1000
 #: Rows of the sieve table that is broadcast, at most: 64 bits each, 4 MB in all.
 SIEVE = 1 << 18
 #: Rows on each side of a square block of the sweep, about.
@@ -295,7 +297,7 @@ def near_duplicates(
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8
     escapes all of them with a probability below 0.0001."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures")
+    signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures", BATCH)
     known = signed.where("n > 0 and id is not null")
     classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", "sig"))), "classes")
     pairs, regions = candidates(classes, orders, prefix, depth, reach, width, crowd, per, of)
@@ -303,14 +305,14 @@ def near_duplicates(
     texts = texts.where("id is not null")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("found", -F.col("a"))).alias("x"), F.min("a").alias("y"))
     best = saved(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "best")
-    first = saved(confirmed(best, texts, words, per, of), "links")
+    first = saved(confirmed(best, texts, words, per, of), "links", BATCH)
     known_so_far = connected_components(first)
     side = lambda c: known_so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = saved(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
-    joined = saved(connected_components(first.union(saved(confirmed(rest, texts, words, per, of), "links"))), "joined")
+    joined = saved(connected_components(first.union(saved(confirmed(rest, texts, words, per, of), "links", BATCH))), "joined")
     strays = stray_pairs(classes, texts, regions, joined, orders, prefix, words, low, per, of).join(pairs, ["a", "b"], "left_anti")
-    strays = saved(confirmed(saved(strays, "strays"), texts, words, per, of), "links")
+    strays = saved(confirmed(saved(strays, "strays", BATCH), texts, words, per, of), "links", BATCH)
     links = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(strays)
     copies = known.select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = _attach(links, copies)

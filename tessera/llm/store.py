@@ -7,12 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.paths import new_path, shared_dir
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut, and a lost
-    executor takes nothing with it. :func:`drop_work` removes such tables."""
+    executor takes nothing with it. :func:`drop_work` removes such tables. ``batch`` bounds the rows of
+    an Arrow batch during this write, for tables of wide rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch:
+        spark.conf.set(ARROW_ROWS, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
