@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import PIECE, U64, blocks, flat, span_hashes
+from .memory import released
 
 #: Buckets of word hashes: what is encoded together. Pre-tokens of documents in one row, about.
 BUCKET_BITS = 10
@@ -271,11 +272,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("payload", T.BinaryType())])
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = source.mapInArrow(_splitter(chunk_bytes, "words"), schema)
-    documents = source.mapInArrow(_splitter(chunk_bytes, "documents"), schema)
-    encoded = words.repartition("no").sortWithinPartitions("no").mapInArrow(_encoder(ranks_path, pattern), schema)
+    words = source.mapInArrow(released(_splitter(chunk_bytes, "words")), schema)
+    documents = source.mapInArrow(released(_splitter(chunk_bytes, "documents")), schema)
+    encoded = words.repartition("no").sortWithinPartitions("no").mapInArrow(released(_encoder(ranks_path, pattern)), schema)
     together = encoded.union(documents).repartition("chunk").sortWithinPartitions("chunk", "no")
-    out = together.mapInArrow(_assembler, T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
+    out = together.mapInArrow(released(_assembler), T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
     return out.select(F.col("id").alias(id_col), "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
 
@@ -298,4 +299,4 @@ def _decoder(path: str):
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded`` (binary) to rows with ``ids`` as :func:`encode` makes them; null stays null.
     An id outside the table is an error."""
-    return df.mapInArrow(_decoder(ranks_path), T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(released(_decoder(ranks_path)), T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))

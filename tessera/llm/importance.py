@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
+from .memory import released
 
 BLOCK = 4 << 20
 #: Labelled ids of either half, at most; the table of them is broadcast (9 bytes an id).
@@ -94,7 +95,7 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
     """Log ratio of each bucket; ``sample`` as from :func:`halves`. ``buckets`` sums reach the driver."""
     ids = sample.where("_good").select("_t")
     marked = df.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), F.col("_i") == F.col("_t"), "left")
-    counts = marked.select("text", F.col("_t").isNotNull().alias("target")).mapInArrow(_counter(buckets), "bucket long, raw long, target long")
+    counts = marked.select("text", F.col("_t").isNotNull().alias("target")).mapInArrow(released(_counter(buckets)), "bucket long, raw long, target long")
     sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in sums:
@@ -109,7 +110,7 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
 def score(df: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_grams, log_weight, score)``; weight and score of a text without words are null."""
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scorer(ratio), f"id {kind}, n_grams long, log_weight double")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(_scorer(ratio)), f"id {kind}, n_grams long, log_weight double")
     return out.select(F.col("id").alias(id_col), "n_grams", "log_weight", (F.col("log_weight") / F.sqrt("n_grams")).alias("score"))
 
 

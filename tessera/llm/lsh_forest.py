@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
+from .memory import released
 from .store import saved
 
 #: Bytes of text worked on at once.
@@ -160,10 +161,10 @@ def candidates(classes: DataFrame, orders: int, prefix: int, depth: int, reach:
     forest = classes.select("id", "n", F.explode(F.expr(f"transform(sequence(0, {orders - 1}), o -> named_struct('o', o, 'key', {key}))")).alias("x")).select(F.col("x.o").cast("int").alias("o"), "x.key", "n", "id")
     schema = "kind byte, o int, key binary, n long, a long, b long"
     walk = _neighbours(prefix, depth, reach, width, crowd, per, of)
-    found = saved(forest.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "forest")
+    found = saved(forest.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(released(walk), schema), "forest")
     borders = found.where("kind = 1").select("o", "key", "n", F.col("a").alias("id")).distinct()
     # a few rows per partition of the pass before
-    more = saved(borders.coalesce(1).sortWithinPartitions("o", "key", "id").mapInArrow(walk, schema), "borders")
+    more = saved(borders.coalesce(1).sortWithinPartitions("o", "key", "id").mapInArrow(released(walk), schema), "borders")
     both = found.union(more)
     return both.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("found")), both.where("kind = 2").select(F.xxhash64("o", "key").alias("region")).distinct()
 
@@ -242,7 +243,7 @@ def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, compon
     blocks = lambda c: F.ceil(F.expr(c) / SIDE).cast("int")
     figures = figures.select("region", "main", blocks("m").alias("across"), blocks("m - most").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = saved(crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(figures, ["region", "salt"]), "swept")
-    lowest = _sieved(texts, rows.select("id").distinct()).select("id", "text").mapInArrow(_lowest(size, low), "id long, n long, low binary")
+    lowest = _sieved(texts, rows.select("id").distinct()).select("id", "text").mapInArrow(released(_lowest(size, low)), "id long, n long, low binary")
     side = lambda hashed, out_of: F.pmod(F.xxhash64(F.col("id"), F.lit(hashed)), F.col(out_of)).cast("int")
     every = lambda out_of: F.explode(F.sequence(F.lit(0), F.col(out_of) - 1))
     held = ["region", "id", "component"]
@@ -284,9 +285,9 @@ def _confirm(per: int, of: int):
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that hold on the full sets of ``texts(id, text)``."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sieved(texts, wanted).select("id", "text").mapInArrow(_pack_sets(size), "id long, set binary")
+    sets = _sieved(texts, wanted).select("id", "text").mapInArrow(released(_pack_sets(size)), "id long, set binary")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(per, of), "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(released(_confirm(per, of)), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -297,7 +298,7 @@ def near_duplicates(
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8
     escapes all of them with a probability below 0.0001."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = saved(texts.mapInArrow(_sign(words, orders * prefix, seed), "id long, n long, digest binary, sig binary"), "signatures", BATCH)
+    signed = saved(texts.mapInArrow(released(_sign(words, orders * prefix, seed)), "id long, n long, digest binary, sig binary"), "signatures", BATCH)
     known = signed.where("n > 0 and id is not null")
     classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", "sig"))), "classes")
     pairs, regions = candidates(classes, orders, prefix, depth, reach, width, crowd, per, of)
