@@ -17,6 +17,8 @@ from tessera.llm.store import saved
 
 #: No source is taken more than so often by the mixture.
 MAX_REPEAT = 1.25
+#: Bytes of text that the tokens stage packs at once.
+CHUNK = 8 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     path = tokenizers.path(TOKENIZER)
-    out = bpe.decode(bpe.encode(docs, path, tokenizers.PATTERN), path)
+    out = bpe.decode(bpe.encode(docs, path, tokenizers.PATTERN, chunk_bytes=CHUNK), path)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
