@@ -18,7 +18,7 @@ from tessera.llm.store import saved
 #: No source is taken more than so often by the mixture.
 MAX_REPEAT = 1.25
 #: Bytes of text that the tokens stage packs at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
