@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import ship
-from tessera.llm import bpe, lsh_forest, mixing, pii
+from tessera.llm import bpe, importance, lsh_forest, mixing, pii
 from tessera.llm.queries import TOKENIZER
-from tessera.llm.queries import quality as scored_quality
 from tessera.llm.store import saved
 
 #: No source is taken more than so often by the mixture.
@@ -22,10 +21,17 @@ CHUNK = 4 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling; documents that are not drawn go."""
+    """Importance resampling as in op7_quality; documents that are not drawn go. An id stays with all its
+    rows if one of them is drawn; rows without an id are told apart, and decided, by their text."""
     ship(spark)
-    chosen = scored_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, chosen.where("selected").select("doc_id"))
+    learn, check = importance.halves(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", F.col("quality") == 1)
+    marked = docs.withColumn("_text", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    scored = importance.score(marked.withColumn("_row", F.struct("doc_id", "_text")), importance.fit(docs, learn), "_row")
+    scored = saved(scored.select("_row.doc_id", "_row._text", "score"), "weights")
+    drawn = importance.resample(scored, least=importance.threshold(scored, check)).where("selected")
+    drawn = drawn.select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t"))
+    return marked.join(drawn, same, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
