@@ -6,18 +6,21 @@ rows; texts change only where personal data is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import ship
 from tessera.llm import bpe, importance, lsh_forest, mixing, pii
 from tessera.llm.queries import TOKENIZER
+from tessera.llm.ranks import ranked
 from tessera.llm.store import saved
 
 #: No source is taken more than so often by the mixture.
 MAX_REPEAT = 1.25
 #: Bytes of text that the tokens stage packs at once.
 CHUNK = 4 << 20
+#: Pairs of repeated ids and texts are numbered in so many buckets (as a power of two).
+NODE_BITS = 10
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +38,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash over five words; the smallest id of each group stays."""
+    """MinHash over five words; the smallest id of each group stays. Where an id repeats, each of its texts
+    counts for itself: of a group the smallest id stays, of that id's texts in the group the one with the
+    smallest digest, and of rows equal in both the first in the order of the other columns."""
     ship(spark)
-    found = saved(lsh_forest.near_duplicates(docs), "groups")
-    kept = _only(docs, found.where("kept and doc_id is not null").select("doc_id"))
-    repeats = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = saved(lsh_forest.near_duplicates(docs), "groups")
+        kept = _only(docs, found.where("kept and doc_id is not null").select("doc_id"))
+    else:
+        kept = _texts_apart(known)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def _texts_apart(docs: DataFrame) -> DataFrame:
+    """Rows that near_duplicates keeps of documents with repeated ids: each pair of id and text is numbered
+    and stands as a node of its own."""
+    marked = docs.withColumn("_text", F.coalesce(F.sha2("text", 256), F.lit("")))
+    pairs = marked.select("doc_id", "_text").distinct().withColumn("_at", F.xxhash64("doc_id", "_text"))
+    places = ranked(pairs, [], "_at", ["doc_id", "_text"], F.lit(1), F.shiftright("_at", 64 - NODE_BITS))
+    nodes = saved(places.select("doc_id", "_text", F.col("rank").alias("_node")), "nodes")
+    found = saved(lsh_forest.near_duplicates(saved(marked.join(nodes, ["doc_id", "_text"]).select("_node", "text"), "texts"), "_node"), "groups")
+    groups = nodes.join(found.select("_node", "component_id").distinct(), "_node")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("x")).select("x.*")
+    order = Window.partitionBy("doc_id", "_text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    return marked.join(first, ["doc_id", "_text"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; the number of characters follows the text."""
     out = pii.redact(pii.find_spans(docs, out_col="_spans"), spans_col="_spans").drop("_spans")

@@ -1,5 +1,7 @@
 """The pipeline's stages on rows that the given tables do not hold: null and repeated ids, odd texts."""
 
+import hashlib
+
 import corpus_pipeline
 import pytest
 from tessera.llm.queries import quality as scored_quality
@@ -37,3 +39,17 @@ def test_quality_decides_rows_without_id(spark, labelled):
     drawn = scored_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected")
     assert len(left) == drawn.count()
     assert {r[0] for r in left} == {r["doc_id"] for r in drawn.collect()}
+
+
+def test_near_duplicates_keeps_unlike_texts_of_an_id(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [
+        row(1, a), row(1, b), row(1, b.upper()), row(2, b), row(3, c), row(3, c, "news"), row(3, a), row(4, d), row(4, f"{c} more"),
+        row(5, None), row(5, ""), row(5, ""), row(6, "lone"), row(2**62, d), row(None, a), row(None, a),
+    ]
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(parts), str(tmp_path))
+        left = sorted(([*r][:2] + [r["source"]] for r in out.collect()), key=str)
+        one_b = [1, min((b, b.upper()), key=lambda t: hashlib.sha256(t.encode()).hexdigest()), "web"]
+        want = [[1, a, "web"], one_b, [3, c, "news"], [4, d, "web"], [5, None, "web"], [5, "", "web"], [6, "lone", "web"], [None, a, "web"], [None, a, "web"]]
+        assert left == sorted(want, key=str)
