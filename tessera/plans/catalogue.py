@@ -251,10 +251,10 @@ def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four writes into a store, merged into level 1, then a range scan."""
     store = Store.open(spark, paths.new_path(spark, "store"), Options(create_if_missing=True, auto_compact=False))
     log = src.oplog(spark, sf_dir)
-    n = log.count()
-    for i in range(4):
-        low, high = n * i // 4, n * (i + 1) // 4
-        part = log.where(f"seq > {low} and seq <= {high}").select("k", "v", (F.col("seq") - 1 - low).alias("pos"))
+    first, last = log.agg(F.coalesce(F.min("seq"), F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    cuts = [first - 1 + (last - first + 1) * i // 4 for i in range(5)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = log.where(f"seq > {low} and seq <= {high}").select("k", "v", (F.col("seq") - 1 - store.manifest.last_seq).alias("pos"))
         store.write_frame(part, "pos")
     store.compact_range()
     return store.scan(low=LOW).select("k", "seq", "v")
