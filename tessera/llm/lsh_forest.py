@@ -16,7 +16,7 @@
    rows of other components, in square blocks of bounded size, by their ``low`` smallest shingle hashes
    (of most texts the whole set, so that the comparison is exact); what may link is confirmed like the
    rest. So each two rows that share a region end connected if they link. Its arithmetic grows with the
-   product of those two counts; the rows it makes do not.
+   product of those two counts, and the rows it makes with that product over ``SIDE``; only its pairs stay few.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts without words (null,
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
