@@ -1,9 +1,16 @@
 """The pipeline's stages on rows that the given tables do not hold: null and repeated ids, odd texts."""
 
 import hashlib
+import math
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_operators import groups_of, tokens_of
+
+from tessera.llm import importance, mixing
 from tessera.llm.queries import quality as scored_quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -53,3 +60,102 @@ def test_near_duplicates_keeps_unlike_texts_of_an_id(spark, tmp_path):
         one_b = [1, min((b, b.upper()), key=lambda t: hashlib.sha256(t.encode()).hexdigest()), "web"]
         want = [[1, a, "web"], one_b, [3, c, "news"], [4, d, "web"], [5, None, "web"], [5, "", "web"], [6, "lone", "web"], [None, a, "web"], [None, a, "web"]]
         assert left == sorted(want, key=str)
+
+
+def hashes(spark, ids, *before):
+    """Spark's hash of each id after other values."""
+    d = spark.createDataFrame([(i,) for i in set(ids)], "i long").select("i", F.xxhash64(*before, "i").alias("h"))
+    return {r["i"]: r["h"] for r in d.collect()}
+
+
+def plain_quality(spark, rows, labels):
+    split = hashes(spark, labels, F.lit(3))
+    learn, check = ({i: q == 1 for i, q in labels.items() if split[i] % (1 << 30) % 2 == k} for k in (0, 1))
+    grams = []
+    for r in rows:
+        text = np.frombuffer((r[1] or "").encode(), np.uint8)
+        grams.append(importance._grams(text, np.array([0, len(text)]), importance.BUCKETS)[0].tolist())
+    raw, target = Counter(), Counter()
+    for r, g in zip(rows, grams, strict=True):
+        raw.update(g)
+        target.update(g if learn.get(r[0]) else [])
+    n, m, size = raw.total(), target.total(), importance.BUCKETS
+    p = lambda b: (raw[b] + 1) / (n + size)
+    ratio = lambda b: math.log((target[b] + 0.3 * m * p(b)) / (1.3 * m)) - math.log(p(b))
+    scores = [sum(map(ratio, g)) / len(g) ** 0.5 if g else None for g in grams]
+    lowest = {}
+    for r, s in zip(rows, scores, strict=True):
+        if r[0] in check and s is not None:
+            lowest[r[0]] = min(s, lowest.get(r[0], s))
+    cuts = sorted(lowest.values())
+    loss = lambda c: importance.CARE * np.mean([lowest[i] < c for i in lowest if check[i]]) + np.mean([lowest[i] >= c for i in lowest if not check[i]])
+    at = min(range(len(cuts)), key=lambda j: (round(loss(cuts[j]), 9), j))
+    least = (cuts[at] + cuts[at - 1]) / 2 if at else cuts[0]
+    noise = {i: -math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52))) for i, h in hashes(spark, [r[0] for r in rows], F.lit(0)).items()}
+    keys = [None if s is None else s / importance.TEMPERATURE + noise[r[0]] for r, s in zip(rows, scores, strict=True)]
+    bound = sorted((k for k in keys if k is not None), reverse=True)[sum(s is not None and s >= least for s in scores) - 1]
+    drawn = [k is not None and k >= bound - 1e-6 for k in keys]
+    whole = {r[0] for r, d in zip(rows, drawn, strict=True) if d and r[0] is not None}
+    return [r for r, d in zip(rows, drawn, strict=True) if d or r[0] in whole]
+
+
+def plain_near_duplicates(rows):
+    digest = lambda t: "" if t is None else hashlib.sha256(t.encode()).hexdigest()
+    nodes = sorted({(r[0], digest(r[1]), r[1]) for r in rows if r[0] is not None}, key=lambda x: x[:2])
+    _, comp = groups_of(range(len(nodes)), [t for _, _, t in nodes], 5)
+    out = [r for r in rows if r[0] is None]
+    for i, (doc_id, _, text) in enumerate(nodes):
+        if comp[i] == i:
+            out.append(min((r for r in rows if r[:2] == (doc_id, text)), key=lambda r: [(c is not None, c) for c in r[2:]]))
+    return out
+
+
+def plain_personal_data(rows):
+    mask = lambda t: t and t.replace("bob@site.org", "[EMAIL]").replace("10.0.0.1", "[IP]")
+    return [(r[0], mask(r[1]), *r[2:]) for r in rows]
+
+
+def plain_mixture(spark, rows):
+    size = lambda r: len((r[1] or "").split())
+    total = Counter()
+    for r in rows:
+        total[r[3]] += size(r)
+    found, out = mixing.solve(dict(total), max_repeat=corpus_pipeline.MAX_REPEAT), []
+    for source, n in total.items():
+        own = [r for r in rows if r[3] == source]
+        full, rest = divmod(found.budgets[source], n) if n else (1, 0)
+        order = hashes(spark, [r[0] for r in own], F.lit(0), F.lit(full).cast("long"))
+        used, more = 0, set()
+        for h in sorted(set(order.values())):
+            used += sum(size(r) for r in own if order[r[0]] == h)
+            if used > rest:
+                break
+            more.add(h)
+        out += [r for r in own for _ in range(full + (rest > 0 and order[r[0]] in more))]
+    return out
+
+
+def test_run_is_plain_python(spark, labelled):
+    rows, sf_dir = labelled
+    own, twin = varied(GOOD, 300), varied(GOOD, 301)
+    rows = [(*r[:3], None if i % 20 == 7 else "books" if i % 8 == 3 else "web", r[4]) for i, r in enumerate(rows)] + [
+        row(None, varied(GOOD, 101)), row(None, varied(GOOD, 101)), row(None, varied(BAD, 103)), row(None, None), row(None, ""),
+        row(200, own), row(200, own, "news"), row(200, twin), row(200, None), row(200, ""), row(201, twin), row(202, own.upper()), row(203, None), row(204, " \n"),
+        row(205, f"{varied(GOOD, 302)} bob@site.org and 10.0.0.1", "news"), row(206, f"{varied(GOOD, 303)} é 中文 😀", None), row(207, varied(BAD, 304) * 50), row(208, varied(GOOD, 305), "news"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    docs.write.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    steps = [lambda x: plain_quality(spark, x, labels), plain_near_duplicates, plain_personal_data, lambda x: plain_mixture(spark, x)]
+    want = rows
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, steps, strict=False):
+        got = [tuple(r) for r in stage(spark, spark.createDataFrame(want, SCHEMA), sf_dir).collect()]
+        want = plain(want)
+        want = [(*r[:4], r[4] if r[1] is None else len(r[1])) for r in want]
+        assert Counter(got) == Counter(want), name
+    assert 0 < len({r[:2] for r in want}) < len({r[:2] for r in rows}) and len(want) > len(set(want))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    tokens = {r[1]: tokens_of(r[1]) for r in want}
+    packed = [(r[0], len(tokens[r[1]]), np.array(tokens[r[1]], "<u4").tobytes(), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in want]
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded_sha256"]) for r in out.collect()) == Counter(packed)
