@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import PIECE, U64, blocks, flat, span_hashes
+from .hashing import PIECE, blocks, distinct, flat
 from .memory import released
 
 #: Buckets of word hashes: what is encoded together. Pre-tokens of documents in one row, about.
 BUCKET_BITS = 10
 BUCKETS, GROUP = 1 << BUCKET_BITS, 1 << 16
+#: Distinct words of a bucket that a task remembers.
+KNOWN = 1 << 20
 #: Classes of characters in the splitting pattern.
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 #: The endings that the pattern splits off after an apostrophe.
@@ -151,28 +153,25 @@ def _unpack(data: bytes, arrays: int) -> tuple:
 def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want: str) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk: its distinct words, one row per bucket of their hashes, or its documents.
 
-    Words are in the order of their hashes; documents refer to them in the order of how often they occur
-    (to a power of two), so that indices are small. The row ``BUCKETS`` has those powers.
+    Words are compared by their bytes; a hash only deals them to buckets. They are in the order of their
+    buckets; documents refer to them in the order of how often they occur (to a power of two), so that
+    indices are small. The row ``BUCKETS`` has those powers.
     """
     starts = split(buf, offsets)
-    ends = np.append(starts[1:], len(buf))
-    hashes, first, back, count = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    n = len(hashes)
+    found, codes = distinct(buf, starts, np.append(starts[1:], len(buf)))
+    words, n = found.to_pylist(), len(found)
+    bucket = np.array([zlib.crc32(w) for w in words], np.int64) >> (32 - BUCKET_BITS)
+    dealt = np.argsort(bucket, kind="stable")
     if want == "words":
-        data, size = buf.tobytes(), ends[first] - starts[first]
-        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        cut = np.searchsorted(hashes >> U64(64 - BUCKET_BITS), np.arange(BUCKETS + 1, dtype=U64)).tolist()
+        cut = np.searchsorted(bucket[dealt], np.arange(BUCKETS + 1)).tolist()
         some = [k for k in range(BUCKETS) if cut[k] < cut[k + 1]]
-        yield _rows(chunk, some, n, ids.type, [None] * len(some), [_pack(size[cut[k] : cut[k + 1]], tail=b"".join(words[cut[k] : cut[k + 1]])) for k in some])
+        own = [[words[i] for i in dealt[cut[k] : cut[k + 1]].tolist()] for k in some]
+        yield _rows(chunk, some, n, ids.type, [None] * len(some), [_pack(np.array([len(w) for w in x]), tail=b"".join(x)) for x in own])
         return
-    check = span_hashes(buf, starts, ends, seed=1)
-    if (check != check[first][back]).any():
-        raise RuntimeError("two words share a hash")
-    power = np.frexp(count)[1]
-    order = np.argsort(-power, kind="stable")
+    power = np.frexp(np.bincount(codes, minlength=n))[1][dealt]
     place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    index, cut = place[back], np.searchsorted(starts, offsets)
+    place[dealt[np.argsort(-power, kind="stable")]] = np.arange(n)
+    index, cut = place[codes], np.searchsorted(starts, offsets)
     yield _rows(chunk, [BUCKETS], n, ids.type, [None], [_pack(power)])
     for no, (i, j) in enumerate(blocks(cut, GROUP)):
         yield _rows(chunk, [BUCKETS + 1 + no], n, ids.type, [ids[i:j].to_pylist()], [_pack(np.diff(cut[i : j + 1]), index[cut[i] : cut[j]])])
@@ -206,7 +205,8 @@ def _splitter(chunk_bytes: int, want: str):
 
 def _encoder(path: str, pattern: str):
     """Buckets of words, sorted by bucket -> the words' numbers of ids and the ids. A word is always in
-    the same bucket, so each distinct word of the corpus is encoded once."""
+    the same bucket, so each distinct word of the corpus is encoded once; a task remembers ``KNOWN`` words
+    of a bucket at a time, beyond which a word may be encoded again, to the same ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, bucket, known = _encoding(path, pattern)._core_bpe, None, {}
@@ -222,6 +222,8 @@ def _encoder(path: str, pattern: str):
                     w = data[a:b]
                     ids = known.get(w)
                     if ids is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         ids = known[w] = enc.encode_single_piece(w)
                     found.append(ids)
                 out.append(_pack(np.array([len(x) for x in found]), np.array([i for x in found for i in x], np.int64)))

@@ -1,19 +1,18 @@
-"""Vectorised hashing of bytes, words and shingles over whole Arrow columns (numpy, no row loop).
+"""Words of whole Arrow columns without a row loop: exact codes, hashes of words and shingles.
 
-A span's hash is a polynomial over its bytes modulo 2**64, taken as a difference of running sums
-and multiplied by the inverse power of its start, so that any number of spans of one buffer cost
-one pass. Each byte value stands for a random 64-bit number; the result is mixed once more.
+Distinct words come from Arrow's dictionary encoding, which compares bytes: two words never share a
+code. A word's 64-bit hash is a BLAKE2b digest, made once per distinct word of a block.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes hashed at once.
+#: Bytes worked on at once.
 PIECE = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -30,49 +29,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-@lru_cache(maxsize=4)
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different byte strings among the spans ``buf[start:end]``, in the order in which they come
+    first, and the place of each span's string among them. Spans are in order and do not overlap."""
+    size = ends - starts
+    if len(starts) and int(size.sum()) != len(buf):
+        steps = np.empty(2 * len(starts) + 1, np.int64)  # gap, span, gap, span, ..., gap
+        steps[1::2], steps[0::2] = size, np.append(starts, len(buf)) - np.insert(ends, 0, 0)
+        buf = buf[np.repeat(np.arange(len(steps)) % 2 == 1, steps)]
+    offsets = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = spans.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _base(seed: int) -> int:
-    return (0x9E3779B97F4A7C15 + 2 * seed) | 1
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n at least."""
-    have = _POWERS.get(seed)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        if size <= n:
-            size <<= 1
-        out = []
-        for b in (_base(seed), pow(_base(seed), -1, 2**64)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        have = (out[0], out[1])
-        _POWERS[seed] = have
-    return have
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each span ``buf[start:end]``; spans are in order and do not overlap."""
-    out = np.empty(len(starts), U64)
-    i, table = 0, _table(seed)
-    while i < len(starts):  # in pieces that stay in the processor's cache
-        low = int(starts[i])
-        j = max(int(np.searchsorted(ends, low + PIECE, "right")), i + 1)
-        part, s, e = buf[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low
-        up, down = _powers(len(part), seed)
-        run = np.zeros(len(part) + 1, U64)
-        np.cumsum(table[part] * up[: len(part)], dtype=U64, out=run[1:])
-        out[i:j] = mix((run[e] - run[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        i = j
-    return out
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span; spans are in order and do not overlap."""
+    found, codes = distinct(buf, starts, ends)
+    digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in found.to_pylist()])
+    return np.frombuffer(digests, "<u8").astype(U64)[codes]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,19 +98,38 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def _runs(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and length of each run of ``size`` words inside a row, and the number of runs per row.
+    A row with fewer words, but one at least, is one run."""
+    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    own = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    at = np.repeat(first, own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    return at, np.repeat(np.minimum(counts, size), own), own
+
+
 def shingles(word_hash: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each run of ``size`` words inside a row, and their number per row. A row with
     fewer words, but one at least, has its whole sequence as its only shingle."""
     n = len(word_hash)
     if not n:
         return np.zeros(0, U64), np.zeros(len(counts), np.int64)
-    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    own = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    row = np.repeat(np.arange(len(counts)), own)
-    at = np.repeat(first, own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    length = np.minimum(counts, size)[row]
+    at, length, own = _runs(counts, size)
     out = mix(length.astype(U64) + U64(0x2545F4914F6CDD1D))
     for k in range(size):
         step = mix(out * U64(0x9E3779B97F4A7C15) + word_hash[np.minimum(at + k, n - 1)])
         out = np.where(k < length, step, out)
     return out, own
+
+
+def exact_shingles(codes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingles`, from the words' exact codes: equal numbers stand for equal runs, no hash decides."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(counts), np.int64)
+    at, length, own = _runs(counts, size)
+    base = int(codes.max()) + 2
+    out = codes[at]
+    for k in range(1, size):
+        more = np.where(k < length, codes[np.minimum(at + k, n - 1)] + 1, 0)
+        out = np.unique(out * base + more, return_inverse=True)[1]
+    return out, own

@@ -422,3 +422,37 @@ def test_temperature():
     assert mixing.solve(tokens, target_entropy=2.0).alpha == 0
     m = mixing.solve(tokens, max_repeat=4.0, budget=1000)
     assert abs(max(m.budgets[k] / tokens[k] for k in tokens) - 4) < 0.1
+
+
+# words whose bytes a polynomial hash can't tell apart
+
+
+def thue_morse(bits):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    one = thue_morse(10)
+    two = one.translate(str.maketrans("ab", "ba"))
+    path = public_tokenizers.path(TOKENIZER)
+    d = spark.createDataFrame([(1, one), (2, two), (3, f"{one} x"), (4, f"{two} y {one}")], "doc_id long, text string").repartition(1)
+    for r in bpe.decode(bpe.encode(d, path, public_tokenizers.PATTERN), path).join(d, "doc_id").collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == tokens_of(r["text"]) and bytes(r["decoded"]).decode() == r["text"]
+    a, b = f"{one} p q r s t", f"{two} p q r s u"  # three of seven shingles, were the words the same: five of seven
+    rows = [(1, f"{one} p q r s t"), (2, f"{two} p q r s t"), (3, one), (4, two), (5, a), (6, b)]
+    _, comp = groups_of([i for i, _ in rows], [t for _, t in rows], 2)
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert [got[i] for i, _ in rows] == comp and got[3] != got[4]
+
+
+def test_exact_jaccard():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    text = lambda: " ".join(r.choice(["a", "b", "A", "c", "é", thue_morse(4)], r.integers(0, 9)))
+    for size in (1, 2, 5):
+        left, right = ([text() for _ in range(300)] for _ in range(2))
+        common, union = lsh_forest.exact_jaccard(pa.array(left), pa.array([*right[:-1], None]), size)
+        right[-1] = ""
+        for x, y, c, u in zip(shingle_sets(left, size), shingle_sets(right, size), common.tolist(), union.tolist()):
+            assert (len(x & y), len(x | y)) == (c, u)
