@@ -9,7 +9,7 @@
    as leave a region of ``crowd`` rows; and with the head of its region of ``depth`` values. Pairs so grow
    in proportion to the rows; those whose set sizes rule out a link are not made. Orders are range-partitioned, a crowded region is cut anywhere; the rows at the
    partitions' edges are paired in a second small pass.
-3. Pairs are confirmed on full sets, computed again from the texts of the classes concerned: first for
+3. Pairs are confirmed on full sets of words, from the texts of the classes concerned: first for
    each class its best partner and its smallest, then those pairs whose classes are not yet connected.
 4. The sweep makes the width no cap: in every region of ``prefix`` values with more rows than ``width``
    pairs exhaustively, the rows outside the region's largest component so far are compared with all its
@@ -21,7 +21,8 @@
 Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts without words (null,
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
 links with nothing, has a null component and is kept; extra columns may have any name; an empty table
-gives an empty result. Two sets are held for equal, and shingles for the same, by 64- and 128-bit hashes.
+gives an empty result. Links are confirmed on the words themselves; sets are held for equal by a 128-bit
+digest of their shingles' 64-bit hashes, which come from BLAKE2b digests of the words.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
+from .hashing import LOWER, U64, blocks, distinct, exact_shingles, flat, shingles, span_hashes, words
 from .memory import released
 from .store import saved
 
@@ -47,6 +48,8 @@ BATCH = 1000
 SIEVE = 1 << 18
 #: Rows on each side of a square block of the sweep, about.
 SIDE = 1024
+#: Tasks among which the pairs of one text are dealt.
+SPREAD = 256
 #: Parts into which a region's rows are dealt where its figures are joined to them.
 SALTS = 32
 
@@ -252,42 +255,45 @@ def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, compon
     return all_rows.unionByName(strays).join(lowest, "id").groupBy("region", "x", "y").applyInArrow(_sweep(low, per, of), "a long, b long").distinct()
 
 
-def _pack_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off, _ = flat(batch.column(1))
-            for i, j in blocks(off, BLOCK):
-                packed = [s.tobytes() for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(packed, pa.binary())], names=["id", "set"])
-
-    return run
+def exact_jaccard(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the shingle sets of two columns' texts, row by row, from the
+    words themselves."""
+    n = len(left)
+    buf, off, _ = flat(pa.concat_arrays([left, right]))
+    low = LOWER[buf]
+    starts, ends, count = words(low, off)
+    codes, own = exact_shingles(distinct(low, starts, ends)[1], count, size)
+    most = int(codes.max(initial=0)) + 1
+    keys = np.unique(np.repeat(np.arange(2 * n), own) * most + codes)  # sorted by row
+    cut = np.searchsorted(keys, n * most)
+    sizes = np.bincount(keys // most, minlength=2 * n)
+    both = np.intersect1d(keys[:cut], keys[cut:] - n * most, assume_unique=True)
+    common = np.bincount(both // most, minlength=n)
+    return common, sizes[:n] + sizes[n:] - common
 
 
-def _confirm(per: int, of: int):
-    """Pairs with both sets -> those with ``of`` * intersection >= ``per`` * union."""
+def _confirm(size: int, per: int, of: int):
+    """Pairs with both texts -> those with ``of`` * intersection >= ``per`` * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                ok = of * min(len(s), len(t)) >= per * max(len(s), len(t))
-                if ok:
-                    both = np.sort(np.concatenate((s, t)))
-                    common = int((both[1:] == both[:-1]).sum())
-                    ok = of * common >= per * (len(s) + len(t) - common)
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ta, tb = batch.column("ta"), batch.column("tb")
+            for i, j in blocks(flat(ta)[1] + flat(tb)[1], BLOCK):
+                common, union = exact_jaccard(ta[i:j], tb[i:j], size)
+                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array((of * common >= per * union) & (common > 0)))
 
     return run
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that hold on the full sets of ``texts(id, text)``."""
+    """Those of ``pairs(a, b)`` that hold on the full sets of ``texts(id, text)``, word by word. A text that many
+    pairs begin with goes to them in ``SPREAD`` copies at most, dealt by the other id, so no task has all of them."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("salt"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sieved(texts, wanted).select("id", "text").mapInArrow(released(_pack_sets(size)), "id long, set binary")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(released(_confirm(per, of)), "a long, b long").distinct()
+    some = _sieved(texts, wanted).select("id", "text")
+    left = some.join(dealt.select(F.col("a").alias("id"), "salt").distinct(), "id").select(F.col("id").alias("a"), "salt", F.col("text").alias("ta"))
+    both = dealt.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"])
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(_confirm(size, per, of)), "a long, b long").distinct()
 
 
 def near_duplicates(
