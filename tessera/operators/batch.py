@@ -32,19 +32,27 @@ def collect(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id").agg(F.min("seq").alias("base"), ops.alias("ops"))
 
 
+def extend(batches: DataFrame, by: str) -> DataFrame:
+    """``(by, base, ops)``: the batches of each group as one, in the order of their bases; it begins at the first."""
+    parts = F.array_sort(F.collect_list(F.struct("base", "ops")))
+    return batches.groupBy(by).agg(F.min("base").alias("base"), F.flatten(F.transform(parts, lambda x: x["ops"])).alias("ops"))
+
+
 def stats(log: DataFrame) -> DataFrame:
     """Per batch: first and last sequence, count, bytes with the header."""
     return sized(log).groupBy("batch_id").agg(F.min("seq").alias("base"), F.max("seq").alias("last_seq"), F.count("*").alias("ops"), (F.sum("bytes") + HEADER).alias("bytes"))
 
 
 def commit_group(batches: DataFrame, leader: int) -> DataFrame:
-    """The batches, from ``leader`` on, that one log write takes: while the running size stays within the cap."""
+    """The batches, from ``leader`` on, that one log write takes: while the running size stays within the cap,
+    and, if there is a column ``sync`` and the leader's is false, up to the first that wants it. A batch has
+    a header at least, so only so many batches are looked at as headers fit in the cap."""
     cap = f"if(first_bytes <= {SMALL_LEADER}, first_bytes + {SMALL_LEADER}, {GROUP_CAP})"
     w = Window.orderBy("batch_id")
-    # a queue's waiting batches: as many as there are writers
-    queue = batches.where(F.col("batch_id") >= leader)
-    out = queue.withColumn("running", F.sum("bytes").over(w)).withColumn("first_bytes", F.first("bytes").over(w))
-    return out.where(F.expr(f"running <= {cap} or batch_id = {leader}")).drop("first_bytes")
+    queue = batches.where(F.col("batch_id") >= leader).orderBy("batch_id").limit(GROUP_CAP // HEADER + 2)
+    sync = F.col("sync") if "sync" in batches.columns else F.lit(False)
+    out = queue.withColumns({"running": F.sum("bytes").over(w), "first_bytes": F.first("bytes").over(w), "stops": F.max(sync).over(w) & ~F.first(sync).over(w)})
+    return out.where(F.expr(f"(running <= {cap} and not stops) or batch_id = {leader}")).drop("first_bytes", "stops")
 
 
 def rotations(log: DataFrame, buffer_bytes: int, stripes: int = 1) -> DataFrame:

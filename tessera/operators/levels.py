@@ -1,11 +1,13 @@
-"""Files and levels: routing, overlap, scores and the choices of compaction. All inputs are file
-tables (metadata), some thousands of rows at most."""
+"""Files and levels: routing, overlap, scores and the choices of compaction. ``files`` are file tables, one
+row per sorted run: windows without a partition run over those of one level; keys are dealt to ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .intervals import asof, covering, overlapping, ranges
+
 #: Levels; files that start, slow and stop level 0; deepest level of a flush; bytes of
 #: level 1; multiple per level; file size; multiples of it that bound grandparents and expansion.
 LEVELS, START, SLOW, STOP, FLUSH_DEEPEST = 7, 4, 8, 12, 2
@@ -22,7 +24,7 @@ def overlaps(low: Column | str, high: Column | str) -> Column:
 def route(keys: DataFrame, files: DataFrame) -> DataFrame:
     """Files that hold a key's range in the order in which they are probed: level 0 from the newest
     number, deeper levels one file each. ``keys(k)``; adds ``level, number, probe`` (from 1)."""
-    hit = keys.join(files.select("level", "number", "smallest", "largest"), F.col("k").between(F.col("smallest"), F.col("largest")))
+    hit = covering(keys.select("k"), files)
     return hit.withColumn("probe", F.row_number().over(Window.partitionBy("k").orderBy("level", F.desc("number"))).cast("long")).select("k", "level", "number", "probe")
 
 
@@ -48,7 +50,8 @@ def has_overlap(files: DataFrame, level: int, low: str, high: str) -> DataFrame:
 
 
 def key_exists(keys: DataFrame, files: DataFrame, level: int) -> DataFrame:
-    return keys.join(files.where(F.col("level") == level), F.col("k").between(F.col("smallest"), F.col("largest")), "left_semi")
+    hit = covering(keys.select("k").distinct(), files.where(F.col("level") == level)).select("k").distinct()
+    return keys.join(hit, "k", "left_semi")
 
 
 def islands(files: DataFrame, level: int = 0) -> DataFrame:
@@ -94,6 +97,14 @@ def best_level(files: DataFrame, level1: int = LEVEL1) -> DataFrame:
     return scores(files, level1).orderBy(F.desc("score_millionths"), "level").limit(1).withColumn("needed", F.col("score_millionths") >= 1_000_000)
 
 
+def needs_compaction(files: DataFrame, keys: DataFrame, level1: int = LEVEL1) -> DataFrame:
+    """One row: whether a level is over its budget, whether reads of ``keys(k)`` used up a file's seeks, and either."""
+    sought = seek_charges(keys, files).agg(F.coalesce(F.bool_or("exhausted"), F.lit(False)).alias("by_seeks"))
+    by_size = best_level(files, level1).select(F.col("needed").alias("by_size"), F.lit(False).alias("by_seeks"))
+    both = by_size.union(sought.select(F.lit(False), "by_seeks")).agg(F.bool_or("by_size").alias("by_size"), F.bool_or("by_seeks").alias("by_seeks"))
+    return both.withColumn("needed", F.col("by_size") | F.col("by_seeks"))
+
+
 def pick_by_pointer(files: DataFrame, level: int, pointer: str) -> DataFrame:
     """The first file that ends beyond the pointer, else the level's first file."""
     own = files.where(F.col("level") == level)
@@ -112,10 +123,11 @@ def manual_inputs(files: DataFrame, level: int, low: str, high: str, most: int =
 def trivial_moves(files: DataFrame, file_bytes: int = FILE) -> DataFrame:
     """Per file below the last level: files and bytes that it overlaps one and two levels down, and whether
     it may move down as it is."""
+    own = files.select("level", "number", "smallest", "largest")
+
     def below(step: int, name: str) -> DataFrame:
-        g = files.select((F.col("level") - step).alias("level"), F.col("smallest").alias("s"), F.col("largest").alias("l"), F.col("size").alias("z"))
-        on = (F.col("f.level") == F.col("g.level")) & (F.col("f.smallest") <= F.col("g.l")) & (F.col("f.largest") >= F.col("g.s"))
-        return files.alias("f").join(g.alias("g"), on).groupBy(F.col("f.number").alias("number")).agg(F.count("*").alias(f"{name}_files"), F.sum("z").alias(f"{name}_bytes"))
+        g = files.select((F.col("level") - step).alias("level"), F.col("smallest").alias("r_smallest"), F.col("largest").alias("r_largest"), F.col("size").alias("z"))
+        return overlapping(own, g, ["level"]).groupBy("number").agg(F.count("*").alias(f"{name}_files"), F.sum("z").alias(f"{name}_bytes"))
 
     zero = F.lit(0).cast("long")
     out = files.where(F.col("level") < LEVELS - 1).select("level", "number").join(below(1, "next"), "number", "left").join(below(2, "grand"), "number", "left")
@@ -139,9 +151,25 @@ def write_state(level0: Column) -> Column:
 
 
 def cut_points(rows: DataFrame, grandparents: DataFrame, most: int) -> DataFrame:
-    """Adds ``output``, the output file of each key-ordered row: a new one starts when the grandparents
-    passed since the last start exceed ``most`` bytes. Grandparents are sorted and disjoint, so what a
-    key has passed is a running sum over them, and outputs are its whole multiples."""
-    g = grandparents.select("largest", F.sum("size").over(Window.orderBy("largest")).alias("passed"))
-    ahead = rows.select("k").distinct().join(g, F.col("largest") < F.col("k"), "left").groupBy("k").agg(F.coalesce(F.max("passed"), F.lit(0)).alias("passed"))
-    return rows.join(ahead, "k").withColumn("output", F.expr(f"cast(passed div {most + 1} as int)")).drop("passed")
+    """Adds ``output``, the output file of each key-ordered row: a new one starts where the grandparents that
+    were passed since the last start, and after the first row, exceed ``most`` bytes. The sum starts anew
+    with each output, so it is a fold over the grandparents, in the order in which keys pass them."""
+    over = ranges(rows, "k")
+    back = Window.partitionBy("_range").orderBy(F.desc("k"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    keys = rows.select("k").distinct().withColumn("_range", over.of(F.col("k")))
+    ends = grandparents.select(F.col("largest").alias("k"), "size").withColumn("_range", over.of(F.col("k")))
+    # in descending order a file's end comes after the keys beyond it, and before its own key
+    both = keys.withColumn("_kind", F.lit(1)).unionByName(ends.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    inside = both.withColumn("_next", F.last(F.when(F.col("_kind") == 1, F.col("k")), ignorenulls=True).over(back)).where("_kind = 0")
+    starts = sorted(r["k"] for r in keys.groupBy("_range").agg(F.min("k").alias("k")).collect())  # one per range
+    if not starts:
+        return rows.withColumn("output", F.lit(0))
+    later = F.element_at(F.filter(F.lit(starts), lambda s: s > F.col("k")), 1)
+    following = F.coalesce("_next", F.when(F.col("k") < starts[-1], later))
+    passed = inside.withColumn("_next", following).where(F.col("_next") > starts[0]).groupBy(F.col("_next").alias("k")).agg(F.sum("size").alias("size"))
+    steps = F.array_sort(F.collect_list(F.struct("k", "size")))
+    fold = "aggregate(steps, named_struct('sum', 0L, 'cuts', cast(array() as array<string>)), (a, s) -> if(a.sum + s.size > {m}, named_struct('sum', 0L, 'cuts', concat(a.cuts, array(s.k))), named_struct('sum', a.sum + s.size, 'cuts', a.cuts)), a -> a.cuts)"
+    cuts = passed.agg(steps.alias("steps")).select(F.posexplode(F.expr(fold.format(m=most))).alias("i", "k"))
+    marked = asof(rows, cuts.select("k", F.struct((F.col("i") + 1).alias("output")).alias("mark")), over)
+    return marked.withColumn("output", F.coalesce("mark.output", F.lit(0))).drop("mark")
+

@@ -30,12 +30,19 @@ def parse_names(names: DataFrame) -> DataFrame:
     return names.withColumn("kind", kind).withColumn("number", F.when(F.col("kind").isin("manifest", "log", "table", "temp"), F.expr("cast(regexp_extract(name, '([0-9]+)', 1) as bigint)")))
 
 
+def format_name(kind: str, number: int) -> str:
+    """A database file's name: the inverse of :func:`parse_names`."""
+    fixed = {"current": "CURRENT", "lock": "LOCK"}
+    return fixed[kind] if kind in fixed else {"manifest": "MANIFEST-%06d", "log": "%06d.log", "table": "%06d.ldb", "temp": "%06d.dbtmp"}[kind] % number
+
+
 def obsolete(names: DataFrame, live_files: DataFrame, manifest: int, log: int) -> DataFrame:
     """Files of a listing that may go: tables and temporary files not in use, older manifests and logs."""
-    n = parse_names(names).where("kind is not null")
-    unused = n.where(F.col("kind").isin("table", "temp")).join(live_files, "number", "left_anti")
-    old = n.where(((F.col("kind") == "manifest") & (F.col("number") < manifest)) | ((F.col("kind") == "log") & (F.col("number") < log)))
-    return unused.select("name", "kind", "number").union(old.select("name", "kind", "number"))
+    used = live_files.select("number", F.lit(True).alias("_used")).distinct()
+    n = parse_names(names).where("kind is not null").join(used, "number", "left")
+    unused = F.col("kind").isin("table", "temp") & F.col("_used").isNull()
+    old = ((F.col("kind") == "manifest") & (F.col("number") < manifest)) | ((F.col("kind") == "log") & (F.col("number") < log))
+    return n.where(unused | old).select("name", "kind", "number")
 
 
 def missing(names: DataFrame, live_files: DataFrame) -> DataFrame:

@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import covering
+
 #: Kinds of operations and the largest sequence.
 DELETE, INSERT = 0, 1
 MAX_SEQ = 2**56 - 1
 
 
 def normalized(log: DataFrame) -> DataFrame:
-    """An empty value is a deletion, and of two operations with the same key and sequence the first one
-    (by batch and position, if there are such columns) counts."""
+    """An empty value is a deletion, and a deletion has no value."""
     empty = F.coalesce(F.col("v"), F.lit("")) == ""
-    out = log.withColumn("vtype", F.when(empty, DELETE).otherwise(F.col("vtype"))).withColumn("v", F.when((F.col("vtype") == INSERT), F.col("v")))
-    return out
+    return log.withColumn("vtype", F.when(empty, DELETE).otherwise(F.col("vtype"))).withColumn("v", F.when(F.col("vtype") == INSERT, F.col("v")))
 
 
 def first_of_duplicates(log: DataFrame, order: str = "pos") -> DataFrame:
@@ -105,12 +105,7 @@ def elide_tombstones(rows: DataFrame, deeper: DataFrame, snapshot: int) -> DataF
     """Drops tombstones at or below the snapshot that hide nothing: no file of a deeper level holds
     their key. A file's range stands for its keys, as the data itself isn't read."""
     old = rows.where((F.col("vtype") == DELETE) & (F.col("seq") <= snapshot)).select("k", "seq")
-    hides = in_files(old, deeper).select("k", "seq").distinct().withColumn("_hides", F.lit(True))
+    hides = covering(old, deeper).select("k", "seq").distinct().withColumn("_hides", F.lit(True))
     out = rows.join(hides, ["k", "seq"], "left")
     return out.where((F.col("vtype") == INSERT) | (F.col("seq") > snapshot) | F.col("_hides")).drop("_hides")
 
-
-def in_files(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Keys with each file whose range holds them; the file table is metadata, small beside any data."""
-    f = files.select("level", "number", "smallest", "largest")
-    return keys.join(f, F.col("k").between(F.col("smallest"), F.col("largest")))
