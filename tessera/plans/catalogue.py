@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import batch, levels, manifest, resolve
+from ..functions.records import BITS_PER_KEY, MULTIPLIER, SEED
+from ..operators import batch, levels, manifest, picking, resolve
+from ..operators.intervals import ordered
+from ..sources import formats, paths
 from ..sources import oplog as src
-from ..sources import paths
 from ..sources.store import Options, Store
 from ..streaming import ingest
 
@@ -82,6 +84,17 @@ simple(
     SELECT batch_id, base, last_seq, ops, bytes, running FROM queue WHERE running <= CASE WHEN fb <= {batch.SMALL_LEADER} THEN fb + {batch.SMALL_LEADER} ELSE {batch.GROUP_CAP} END OR batch_id = 5""",
     lambda d: batch.commit_group(batch.stats(d), 5),
 )
+simple(
+    "q12b_batch_extend",
+    f"WITH {OPLOG}, g AS (SELECT *, batch_id // 3 AS three FROM oplog) SELECT min(seq) OVER (PARTITION BY three) AS base, row_number() OVER (PARTITION BY three ORDER BY seq) - 1 AS pos, k, vtype, v FROM g",
+    lambda d: batch.expand(batch.extend(batch.collect(d).withColumn("three", F.expr("batch_id div 3")), "three")).select((F.col("seq") - F.col("pos")).alias("base"), F.col("pos").cast("long").alias("pos"), "k", "vtype", "v"),
+)
+simple(
+    "q14b_group_commit_sync",
+    f"""WITH {BATCHES}, queue AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY batch_id) AS BIGINT) AS running, first(bytes) OVER (ORDER BY batch_id) AS fb, batch_id % 7 = 0 AS sync FROM batches WHERE batch_id >= 8),
+    stop AS (SELECT min(batch_id) AS first_sync FROM queue WHERE sync) SELECT batch_id, base, last_seq, ops, bytes, running, sync FROM queue, stop WHERE running <= fb + {batch.SMALL_LEADER} AND (first_sync IS NULL OR batch_id < first_sync) OR batch_id = 8""",
+    lambda d: batch.commit_group(batch.stats(d).withColumn("sync", F.col("batch_id") % 7 == 0), 8),
+)
 simple("q15_memtable_rotation", f"WITH {SIZED}, r AS (SELECT *, bytes + 8 AS charge, CAST(sum(bytes + 8) OVER (ORDER BY seq) AS BIGINT) AS running FROM sized) SELECT k, seq, charge, running, (running - charge) // {BUFFER} AS buffer FROM r", lambda d: batch.rotations(d, BUFFER).select("k", "seq", "charge", "running", "buffer"))
 simple(
     "q16_empty_value_delete",
@@ -106,10 +119,10 @@ simple("q19_compaction_gc", f"WITH {OPLOG} SELECT {COLS} FROM (SELECT *, lag(seq
 
 
 @query("q20_tombstone_elision", f"""WITH {FILES}, g AS (SELECT * FROM placed WHERE level <= 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1)
-  SELECT k, seq, vtype, v FROM g WHERE vtype = 1 OR EXISTS (SELECT 1 FROM files f WHERE f.level >= 2 AND f.number % 4 = 1 AND g.k BETWEEN f.smallest AND f.largest)""")
+  SELECT k, seq, vtype, v FROM g WHERE vtype = 1 OR EXISTS (SELECT 1 FROM files f WHERE f.level >= 2 AND g.k BETWEEN f.smallest AND f.largest)""")
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resolve.newest(src.placed(spark, sf_dir).where("level <= 1"))
-    deeper = src.files(spark, sf_dir).where("level >= 2 and number % 4 = 1")
+    deeper = src.files(spark, sf_dir).where("level >= 2")
     return resolve.elide_tombstones(rows.select("k", "seq", "vtype", "v"), deeper, resolve.MAX_SEQ)
 
 
@@ -130,7 +143,7 @@ query("q24b_seek_charges", AMP + f", c AS (SELECT charged AS number, count(*) AS
     lambda s, d: levels.seek_charges(src.oplog(s, d).select("k").distinct(), src.files(s, d))
 )
 simple("q25_overlap_in_level", f"WITH {FILES} SELECT count(*) > 0 AS overlaps FROM files WHERE level = 1 AND largest >= '{LOW}' AND smallest <= '{HIGH}'", lambda d: levels.has_overlap(d, 1, LOW, HIGH), src.files)
-query("q25b_exists_in_level", f"WITH {FILES} SELECT DISTINCT k FROM oplog WHERE EXISTS (SELECT 1 FROM files WHERE level = 2 AND number % 4 = 1 AND k BETWEEN smallest AND largest)")(lambda s, d: levels.key_exists(src.oplog(s, d).select("k").distinct(), src.files(s, d).where("number % 4 = 1"), 2))
+query("q25b_exists_in_level", f"WITH {FILES} SELECT DISTINCT k FROM oplog WHERE EXISTS (SELECT 1 FROM files WHERE level = 2 AND k BETWEEN smallest AND largest)")(lambda s, d: levels.key_exists(src.oplog(s, d).select("k").distinct(), src.files(s, d), 2))
 simple("q26_overlapping_inputs", f"WITH {FILES} SELECT * FROM files WHERE level = 2 AND largest >= '{LOW}' AND smallest <= '{HIGH}'", lambda d: levels.overlapping_inputs(d, 2, LOW, HIGH), src.files)
 ISLANDS = f"""WITH {FILES}, l0 AS (SELECT *, max(largest) OVER (ORDER BY smallest, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM files WHERE level = 0),
   isl AS (SELECT *, CAST(sum(CASE WHEN smallest <= reach THEN 0 ELSE 1 END) OVER (ORDER BY smallest, number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM l0)"""
@@ -141,6 +154,10 @@ simple("q28_level_summary", f"WITH {STATS} SELECT * FROM stats", levels.level_st
 SCORES = STATS + f", scores AS (SELECT *, CASE WHEN level = 0 THEN files * 1000000 // {levels.START} ELSE bytes * 1000000 // ({LEVEL1} * CAST(power({levels.GROWTH}, level - 1) AS BIGINT)) END AS score_millionths FROM stats WHERE level < 6)"
 simple("q29_compaction_score", f"WITH {SCORES} SELECT * FROM scores", lambda d: levels.scores(d, LEVEL1), src.files)
 simple("q30_pick_level", f"WITH {SCORES} SELECT *, score_millionths >= 1000000 AS needed FROM scores ORDER BY score_millionths DESC, level LIMIT 1", lambda d: levels.best_level(d, LEVEL1), src.files)
+query("q30b_needs_compaction", f"WITH {SCORES}, {AMP.removeprefix(f'WITH {FILES}, ')}" + f""", c AS (SELECT charged AS number, count(*) AS charges FROM amp WHERE charged IS NOT NULL GROUP BY charged),
+  two AS (SELECT (SELECT max(score_millionths) >= 1000000 FROM scores) AS by_size, coalesce((SELECT bool_or(charges >= greatest({levels.SEEK_LEAST}, size // {levels.SEEK_BYTES})) FROM c JOIN files USING (number)), false) AS by_seeks) SELECT *, by_size OR by_seeks AS needed FROM two""")(
+    lambda s, d: levels.needs_compaction(src.files(s, d), src.oplog(s, d).select("k").distinct(), LEVEL1)
+)
 simple("q31_pick_by_pointer", f"WITH {FILES} SELECT * FROM files WHERE level = 1 ORDER BY CASE WHEN largest <= '{HIGH}' THEN 1 ELSE 0 END, smallest, number LIMIT 1", lambda d: levels.pick_by_pointer(d, 1, HIGH), src.files)
 simple("q32_manual_cut", f"WITH {FILES}, m AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY smallest, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM files WHERE level = 1 AND largest >= '{LOW}') SELECT * FROM m WHERE before < {SMALL_FILE}", lambda d: levels.manual_inputs(d, 1, LOW, "999999", SMALL_FILE), src.files)
 simple(
@@ -151,18 +168,53 @@ simple(
     lambda d: levels.trivial_moves(d, 500),
     src.files,
 )
-simple(
-    "q34_flush_level",
-    f"""WITH {FILES}, o AS (SELECT level, count(*) AS n, sum(size) AS z FROM files WHERE level > 0 AND largest >= '{LOW}' AND smallest <= '{HIGH}' GROUP BY level)
-    SELECT CAST(CASE WHEN coalesce(sum(n) FILTER (level = 0), 0) > 0 OR coalesce(sum(n) FILTER (level = 1), 0) > 0 OR coalesce(sum(z) FILTER (level = 2), 0) > 2097152 THEN 0
-    WHEN coalesce(sum(n) FILTER (level = 2), 0) > 0 OR coalesce(sum(z) FILTER (level = 3), 0) > 2097152 THEN 1 ELSE 2 END AS INT) AS flush_level FROM o""",
-    lambda d: levels.flush_level(d.where("level > 0"), LOW, HIGH),
-    src.files,
-)
-query("q34b_grandparent_cuts", f"""WITH {FILES}, g AS (SELECT largest, sum(size) OVER (ORDER BY largest) AS passed FROM files WHERE level = 3), keys AS (SELECT k, seq FROM placed WHERE level = 1)
-  SELECT k, seq, CAST(coalesce((SELECT max(passed) FROM g WHERE g.largest < keys.k), 0) // {SMALL_FILE + 1} AS INT) AS output FROM keys""")(
+FLUSH = """SELECT '{case}' AS place, CAST(CASE WHEN coalesce(sum(n) FILTER (level = 0), 0) > 0 OR coalesce(sum(n) FILTER (level = 1), 0) > 0 OR coalesce(sum(z) FILTER (level = 2), 0) > 2097152 THEN 0
+    WHEN coalesce(sum(n) FILTER (level = 2), 0) > 0 OR coalesce(sum(z) FILTER (level = 3), 0) > 2097152 THEN 1 ELSE 2 END AS INT) AS flush_level
+    FROM (SELECT level, count(*) AS n, sum(size) AS z FROM files WHERE level >= {least} AND largest >= '{low}' AND smallest <= '{high}' GROUP BY level)"""
+#: Ranges of flushed runs, and the first level that has files.
+FLUSHES = [("inside", 0, LOW, HIGH), ("beyond", 0, "999998", "999999"), ("above level 1", 1, LOW, HIGH), ("above level 2", 2, LOW, HIGH), ("above level 3", 3, LOW, HIGH)]
+
+
+@query("q34_flush_level", f"WITH {FILES} " + " UNION ALL ".join(FLUSH.format(case=c, least=n, low=a, high=b) for c, n, a, b in FLUSHES))
+def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, out = src.files(spark, sf_dir), None
+    for case, least, low, high in FLUSHES:
+        one = levels.flush_level(files.where(F.col("level") >= least), low, high).select(F.lit(case).alias("place"), "flush_level")
+        out = one if out is None else out.union(one)
+    return out
+
+
+query("q34b_grandparent_cuts", f"""WITH RECURSIVE {FILES}, keys AS (SELECT k, seq FROM placed WHERE level = 1),
+  passed AS (SELECT (SELECT min(k) FROM keys WHERE k > f.largest) AS k, size FROM files f WHERE level = 3),
+  steps AS (SELECT k, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY k) AS n FROM passed WHERE k > (SELECT min(k) FROM keys) GROUP BY k),
+  fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(NULL AS VARCHAR) AS cut UNION ALL
+    SELECT s.n, CASE WHEN held + size > {SMALL_FILE} THEN 0 ELSE held + size END, CASE WHEN held + size > {SMALL_FILE} THEN k END FROM fold JOIN steps s ON s.n = fold.n + 1)
+  SELECT k, seq, CAST((SELECT count(*) FROM fold WHERE cut <= keys.k) AS INT) AS output FROM keys""")(
     lambda s, d: levels.cut_points(src.placed(s, d).where("level = 1").select("k", "seq"), src.files(s, d).where("level = 3"), SMALL_FILE)
 )
+PICKED = ISLANDS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", stats AS (SELECT CAST(s.level AS INT) AS level, count(number) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM range(6) s(level) LEFT JOIN files USING (level) GROUP BY s.level),
+  best AS (SELECT level FROM stats ORDER BY CASE WHEN level = 0 THEN files * 1000000 // {levels.START} ELSE bytes * 1000000 // ({LEVEL1} * CAST(power({levels.GROWTH}, level - 1) AS BIGINT)) END DESC, level LIMIT 1),
+  one AS (SELECT f.* FROM files f, best WHERE f.level = best.level ORDER BY CASE WHEN largest <= '{HIGH}' THEN 1 ELSE 0 END, smallest, number LIMIT 1),
+  a AS (SELECT f.* FROM files f, one WHERE f.level = one.level AND (f.number = one.number OR f.level = 0 AND f.number IN (SELECT number FROM isl WHERE island = (SELECT island FROM isl JOIN one o USING (number))))),
+  ar AS (SELECT min(smallest) AS lo, max(largest) AS hi, any_value(level) AS level, sum(size) AS z, count(*) AS n FROM a),
+  b AS (SELECT f.* FROM files f, ar WHERE f.level = ar.level + 1 AND f.largest >= lo AND f.smallest <= hi),
+  abr AS (SELECT least(min(b.smallest), any_value(lo)) AS lo, greatest(max(b.largest), any_value(hi)) AS hi, count(b.number) AS n, coalesce(sum(b.size), 0) AS z FROM ar LEFT JOIN b ON true),
+  wide AS (SELECT f.* FROM files f, ar, abr WHERE f.level = ar.level AND f.level > 0 AND f.largest >= abr.lo AND f.smallest <= abr.hi UNION ALL SELECT * FROM a WHERE level = 0),
+  wr AS (SELECT min(smallest) AS lo, max(largest) AS hi, count(*) AS n, sum(size) AS z FROM wide),
+  grows AS (SELECT abr.n > 0 AND wr.n > ar.n AND wr.z + abr.z < {levels.EXPANSION * SMALL_FILE} AND (SELECT count(*) FROM files f WHERE f.level = ar.level + 1 AND f.largest >= wr.lo AND f.smallest <= wr.hi) = abr.n AS yes FROM ar, abr, wr),
+  p AS (SELECT 'input' AS part, number FROM wide, grows WHERE yes UNION ALL SELECT 'input', number FROM a, grows WHERE NOT yes UNION ALL SELECT 'next', number FROM b),
+  r AS (SELECT min(smallest) AS lo, max(largest) AS hi FROM files WHERE number IN (SELECT number FROM p))
+  SELECT * FROM p UNION ALL SELECT 'beneath', number FROM files f, ar, r WHERE f.level = ar.level + 2 AND f.largest >= r.lo AND f.smallest <= r.hi"""
+
+
+@query("q55_picked_compaction", PICKED)
+def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole choice of a compaction over the file table: level, file, closure, next level, expansion, beneath."""
+    files = [r.asDict() for r in src.files(spark, sf_dir).collect()]  # metadata, as the driver holds it
+    c = picking.pick(files, {n: HIGH for n in range(levels.LEVELS)}, SMALL_FILE, LEVEL1)
+    rows = [(part, f["number"]) for part, fs in (("input", c.inputs), ("next", c.lower), ("beneath", c.grandparents)) for f in fs]
+    return spark.createDataFrame(rows, "part string, number long")
+
 
 # manifest
 
@@ -181,7 +233,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     six = F.lpad(F.col("i").cast("string"), 6, "0")
     tail = F.when(F.col("i") % 8 == 3, ".sst").otherwise(".dbtmp")
     name = F.when(F.col("i") % 4 == 0, F.concat(six, F.lit(".ldb"))).when(F.col("i") % 4 == 1, F.concat(six, F.lit(".log"))).when(F.col("i") % 4 == 2, F.concat(F.lit("MANIFEST-"), six)).otherwise(F.concat(six, tail))
-    return i.select(name.alias("name")).union(spark.createDataFrame([("CURRENT",), ("LOCK",), ("notes.txt",)], "name string"))
+    return i.select(name.alias("name")).union(spark.range(1).select(F.explode(F.lit(["CURRENT", "LOCK", "notes.txt"]))))
 
 
 def in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,41 +251,72 @@ simple("q40_write_state", "SELECT n, CASE WHEN n >= 12 THEN 'stop' WHEN n >= 8 T
 simple("q41_varint_length", f"WITH {OPLOG} SELECT seq * 977 * seq AS x, CAST({vlen('seq * 977 * seq')} AS INT) AS n FROM oplog", lambda d: d.select((F.col("seq") * 977 * F.col("seq")).alias("x")).withColumn("n", codec.varint_length("x")))
 simple("q41b_varint_round_trip", f"WITH {OPLOG} SELECT seq * 977 AS x, seq * 977 AS back, CAST({vlen('seq * 977')} AS INT) AS n FROM oplog", lambda d: d.select((F.col("seq") * 977).alias("x")).withColumn("h", codec.varint_hex("x")).select("x", codec.varint_decode("h").alias("back"), F.expr("cast(length(h) / 2 as int)").alias("n")))
 simple("q41c_fixed_round_trip", f"WITH {OPLOG} SELECT seq, seq AS back, right(upper(lpad(to_hex(seq), 8, '0')), 2) AS first_byte FROM oplog", lambda d: d.select("seq").withColumn("h", codec.fixed_hex("seq", 4)).select("seq", codec.fixed_decode("h", 4).alias("back"), F.substring("h", 1, 2).alias("first_byte")))
-LCP = "CASE WHEN least(length({a}), length({b})) = 0 THEN 0 ELSE len(list_filter(generate_series(1, least(length({a}), length({b}))), lambda i: substr({a}, 1, CAST(i AS BIGINT)) = substr({b}, 1, CAST(i AS BIGINT)))) END"
+LCP = "CAST(len(list_filter(generate_series(1, least(length({a}), length({b})) // 2), lambda i: left({a}, 2 * i) = left({b}, 2 * i))) AS INT)"
+KEYS_SQL = """keys AS (SELECT DISTINCT CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'é' WHEN 2 THEN '中' ELSE '😀' END || CAST(user_id AS VARCHAR) || event_type AS k FROM events),
+  numbered AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS n, hex(encode(k)) AS h, hex(encode(lag(k) OVER (ORDER BY k))) AS hp, lead(k) OVER (ORDER BY k) AS nxt, hex(encode(lead(k) OVER (ORDER BY k))) AS hn FROM keys)"""
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("k")).distinct()
+    """Keys of one to four bytes a character."""
+    first = F.expr("case user_id % 4 when 0 then '' when 1 then 'é' when 2 then '中' else '😀' end")
+    return src.table(spark, sf_dir, "events").select(F.concat(first, F.col("user_id").cast("string"), "event_type").alias("k")).distinct()
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys with the next one, by a bounded window: keys of one first character together."""
-    from pyspark.sql import Window
+def byte_sql(h: str, at: str) -> str:
+    """The value of a byte of a hex string, counted from 0."""
+    digit = lambda plus: f"(instr('0123456789ABCDEF', substr({h}, CAST(2 * ({at}) + {plus} AS BIGINT), 1)) - 1)"
+    return f"(16 * {digit(1)} + {digit(2)})"
 
-    return names(spark, sf_dir).withColumn("nxt", F.lead("k").over(Window.partitionBy(F.substring("k", 1, 1)).orderBy("k"))).where("nxt is not null")
 
-
-BY_FIRST = "keys AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || event_type AS k FROM events), numbered AS (SELECT k, row_number() OVER w - 1 AS n, lag(k) OVER w AS prev, lead(k) OVER w AS nxt FROM keys WINDOW w AS (PARTITION BY substr(k, 1, 1) ORDER BY k))"
-query("q42_shared_prefix_len", f"WITH {BY_FIRST}, e AS (SELECT k, n % 16 = 0 AS restart, CAST(CASE WHEN n % 16 = 0 THEN 0 ELSE {LCP.format(a='k', b='prev')} END AS INT) AS shared FROM numbered) SELECT k, shared, CAST(length(k) AS INT) - shared AS unshared FROM e")(
-    lambda s, d: codec.block_entries(names(s, d).withColumn("first", F.substring("k", 1, 1)), by=["first"]).select("k", "shared", "unshared")
+query("q42_shared_prefix_len", f"WITH {KEYS_SQL}, e AS (SELECT k, CASE WHEN n % 16 = 0 THEN 0 ELSE {LCP.format(a='h', b='hp')} END AS shared, h FROM numbered) SELECT k, shared, CAST(length(h) // 2 AS INT) - shared AS unshared FROM e")(
+    lambda s, d: codec.block_entries(names(s, d)).select("k", "shared", "unshared")
+)
+query("q43_restart_points", f"WITH {KEYS_SQL} SELECT k, n % 16 = 0 AS restart FROM numbered")(lambda s, d: codec.block_entries(names(s, d)).select("k", "restart"))
+query("q44_shortest_separator", f"""WITH {KEYS_SQL}, d AS (SELECT *, {LCP.format(a='h', b='hn')} AS d FROM numbered WHERE nxt IS NOT NULL)
+  SELECT k, nxt, CASE WHEN d < least(length(h), length(hn)) // 2 AND {byte_sql('h', 'd')} + 1 < {byte_sql('hn', 'd')} THEN left(h, 2 * d) || printf('%02X', {byte_sql('h', 'd')} + 1) ELSE h END AS sep FROM d""")(
+    lambda s, d: ordered(names(s, d)).where("nxt is not null").select("k", "nxt", F.hex(codec.separator("k", "nxt")).alias("sep"))
 )
-query("q43_restart_points", f"WITH {BY_FIRST} SELECT k, n % 16 = 0 AS restart FROM numbered")(lambda s, d: codec.block_entries(names(s, d).withColumn("first", F.substring("k", 1, 1)), by=["first"]).select("k", "restart"))
-_D = LCP.format(a="k", b="nxt")
-_X, _Y = (f"ascii(substr({c}, CAST(({_D}) + 1 AS BIGINT), 1))" for c in ("k", "nxt"))
-query("q44_shortest_separator", f"WITH {BY_FIRST} SELECT k, nxt, CASE WHEN ({_D}) < least(length(k), length(nxt)) AND {_X} + 1 < {_Y} THEN left(k, CAST({_D} AS BIGINT)) || chr({_X} + 1) ELSE k END AS sep FROM numbered WHERE nxt IS NOT NULL")(lambda s, d: neighbours(s, d).withColumn("sep", codec.separator("k", "nxt")))
-query("q44b_shortest_successor", "WITH keys AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || event_type AS k FROM events) SELECT k, chr(ascii(substr(k, 1, 1)) + 1) AS succ FROM keys")(lambda s, d: names(s, d).withColumn("succ", codec.successor("k")))
+query("q44b_shortest_successor", f"WITH {KEYS_SQL} SELECT k, printf('%02X', {byte_sql('h', '0')} + 1) AS succ FROM numbered")(lambda s, d: names(s, d).withColumn("succ", F.hex(codec.successor("k"))))
 query("q45_file_name_parse", f"WITH {PARSED} SELECT name, kind, CASE WHEN kind IN ('manifest', 'log', 'table', 'temp') THEN number END AS number FROM parsed")(lambda s, d: manifest.parse_names(listing(s, d)))
-query("q45b_byte_hash")(lambda s, d: names(s, d).withColumn("h", codec.byte_hash("k")).withColumn("shard", codec.shard(F.col("h"))))
+_WORD = "CAST(" + " + ".join(f"{byte_sql('h', f'4 * i + {j}')} * {256**j}" for j in range(4)) + " AS UBIGINT)"
+_MIX = "((({x}) % 4294967296) * {m} % 4294967296)"
 
 
-@query("q46_bloom_no_false_negative", f"WITH {PLACED} SELECT number, count(DISTINCT k) AS present, 0::BIGINT AS missed FROM placed GROUP BY number")
+def _mixed(x: str, shift: int) -> str:
+    y = _MIX.format(x=x, m=MULTIPLIER)
+    return f"xor({y}, {y} // {2**shift})"
+
+
+query("q45b_byte_hash", f"""WITH {KEYS_SQL}, w AS (SELECT k, h, CAST(length(h) // 2 AS UBIGINT) AS n, list_transform(generate_series(0, length(h) // 8 - 1), lambda i: {_WORD}) AS words FROM numbered),
+  f AS (SELECT k, h, n, list_reduce(list_prepend(xor(CAST({SEED} AS UBIGINT), n * {MULTIPLIER} % 4294967296), words), lambda a, b: {_mixed('a + b', 16)}) AS g FROM w),
+  t AS (SELECT k, n, g, CAST({" + ".join(f"CASE WHEN n % 4 > {j} THEN {byte_sql('h', f'n - n % 4 + {j}')} * {256**j} ELSE 0 END" for j in range(3))} AS UBIGINT) AS rest FROM f),
+  r AS (SELECT k, CASE WHEN n % 4 = 0 THEN g ELSE {_mixed('g + rest', 24)} END AS h FROM t) SELECT k, CAST(h AS BIGINT) AS h, CAST(h // 268435456 AS INT) AS shard FROM r""")(
+    lambda s, d: names(s, d).withColumn("h", codec.byte_hash("k")).withColumn("shard", codec.shard(F.col("h")))
+)
+
+
+@query("q46_bloom_no_false_negative", f"WITH {PLACED} SELECT number, count(DISTINCT k) AS present, 0::BIGINT AS missed, true AS few_others FROM placed GROUP BY number")
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's filter asked for its keys, which it may not miss, and for as many others, of which few may match."""
     keys = src.placed(spark, sf_dir).select("number", "k").distinct()
-    found = codec.bloom_match(keys, codec.bloom_build(keys, "number"), "number")
-    return found.groupBy("number").agg(F.count("*").alias("present"), F.sum(F.when(F.col("may_match"), 0).otherwise(1)).cast("long").alias("missed"))
+    others = keys.select("number", F.concat(F.lit("no such "), "k").alias("k"))
+    found = codec.bloom_match(keys.union(others), codec.bloom_build(keys, "number"), "number").withColumn("own", ~F.col("k").startswith("no such "))
+    hits = F.sum(F.when(~F.col("own") & F.col("may_match"), 1).otherwise(0))
+    return found.groupBy("number").agg(F.sum(F.col("own").cast("long")).alias("present"), F.sum(F.when(F.col("own") & ~F.col("may_match"), 1).otherwise(0)).cast("long").alias("missed"), (hits <= 3 + F.count("*") / BITS_PER_KEY).alias("few_others"))
+
+
+@query("q47_wal_replay_max_seq", f"WITH {BATCHES} SELECT batch_id // 100 AS log_number, max(base + ops - 1) AS max_seq, count(*) AS batches, CAST(sum(ops) AS BIGINT) AS ops FROM batches GROUP BY batch_id // 100")
+def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches written to logs of 100, and what a restart finds in those."""
+    logs = formats.write_logs(batch.collect(src.oplog(spark, sf_dir)).withColumn("log_number", F.expr("batch_id div 100")))
+    return formats.replay(logs).groupBy("log_number").agg(F.max("seq").alias("max_seq"), F.count_distinct("base").alias("batches"), F.count("*").alias("ops"))
 
 
-simple("q47_wal_replay_max_seq", f"WITH {BATCHES} SELECT batch_id // 10 AS log_number, max(base + ops - 1) AS max_seq, count(*) AS batches FROM batches GROUP BY batch_id // 10", lambda d: batch.stats(d).groupBy(F.expr("batch_id div 10").alias("log_number")).agg(F.max(F.expr("base + ops - 1")).alias("max_seq"), F.count("*").alias("batches")))
+@query("q47b_wal_replay_state", f"WITH {NEWEST} SELECT k, seq, v FROM newest WHERE vtype = 1")
+def q47b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a restart from the logs alone."""
+    logs = formats.write_logs(batch.collect(src.oplog(spark, sf_dir)).withColumn("log_number", F.expr("batch_id div 100")))
+    return resolve.latest(formats.replay(logs)).select("k", "seq", "v")
 
 
 @query("q48_stream_latest", f"WITH {NEWEST} SELECT k, seq, v FROM newest WHERE vtype = 1")
@@ -254,10 +337,34 @@ def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = log.agg(F.coalesce(F.min("seq"), F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
     cuts = [first - 1 + (last - first + 1) * i // 4 for i in range(5)]
     for low, high in zip(cuts, cuts[1:], strict=False):
-        part = log.where(f"seq > {low} and seq <= {high}").select("k", "v", (F.col("seq") - 1 - store.manifest.last_seq).alias("pos"))
+        part = log.where(f"seq > {low} and seq <= {high}").select("k", "v", (F.col("seq") - 1 - store.last_seq).alias("pos"))
         store.write_frame(part, "pos")
     store.compact_range()
     return store.scan(low=LOW).select("k", "seq", "v")
 
 
-simple("q50_orders_kv", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS k, o_orderkey + 1 AS seq, 1 AS vtype, o_orderpriority AS v FROM orders WHERE o_orderkey BETWEEN 100 AND 900", lambda d: resolve.scan(d, "000000100", "000000900"), src.orders_kv)
+simple("q50_orders_kv", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS k, o_orderkey + 1 AS seq, 1 AS vtype, o_orderpriority AS v FROM orders", resolve.scan, src.orders_kv)
+
+# table files and edits, byte by byte
+
+query("q51_table_files", f"WITH {PLACED} SELECT number, k, seq, vtype, v FROM placed")(lambda s, d: formats.scan_tables(formats.write_tables(src.placed(s, d))))
+query("q51b_table_seek", f"WITH {PLACED} SELECT number, k, seq, vtype, v FROM placed WHERE k >= '{SEEK}'")(lambda s, d: formats.scan_tables(formats.write_tables(src.placed(s, d)), SEEK))
+query("q52_table_point_get", f"WITH {PLACED} SELECT number, k, seq, vtype, v FROM placed WHERE k = '{KEY}' AND seq <= {SNAP} QUALIFY row_number() OVER (PARTITION BY number ORDER BY seq DESC) = 1")(
+    lambda s, d: formats.get_from_tables(formats.write_tables(src.placed(s, d)), KEY, SNAP)
+)
+query("q53_edit_codec", f"WITH {EDITS} SELECT edit_id, is_add, level, number, CASE WHEN is_add = 1 THEN size END AS size, CASE WHEN is_add = 1 THEN smallest END AS smallest, CASE WHEN is_add = 1 THEN largest END AS largest FROM edits JOIN files USING (level, number)")(
+    lambda s, d: formats.read_edits(formats.write_edits(src.edits(s, d), src.files(s, d)))
+)
+
+
+@query("q54_compaction_to_rest", f"WITH {NEWEST} SELECT k, seq, v, true AS at_rest FROM newest WHERE vtype = 1")
+def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six writes into a store with small levels, then compactions as they are picked until none is needed."""
+    store = Store.open(spark, paths.new_path(spark, "store"), Options(create_if_missing=True, auto_compact=False, file_bytes=1 << 20, level1=2 << 20))
+    log = src.oplog(spark, sf_dir)
+    first, last = log.agg(F.coalesce(F.min("seq"), F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    cuts = [first - 1 + (last - first + 1) * i // 6 for i in range(7)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        store.write_frame(log.where(f"seq > {low} and seq <= {high}").select("k", "v", (F.col("seq") - 1 - store.last_seq).alias("pos")), "pos")
+    store.maintain()
+    return store.scan().select("k", "seq", "v", F.lit(store.next_compaction() is None).alias("at_rest"))
