@@ -22,7 +22,7 @@ Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts w
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
 links with nothing, has a null component and is kept; extra columns may have any name; an empty table
 gives an empty result. Links are confirmed on the words themselves; sets are held for equal by a 128-bit
-digest of their shingles' 64-bit hashes, which come from BLAKE2b digests of the words.
+digest of their shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ BATCH = 1000
 SIEVE = 1 << 18
 #: Rows on each side of a square block of the sweep, about.
 SIDE = 1024
+#: Hashed sets down to one part in so many below the bound are compared word by word.
+NEAR = 20
 #: Tasks among which the pairs of one text are dealt.
 SPREAD = 256
 #: Parts into which a region's rows are dealt where its figures are joined to them.
@@ -273,14 +275,26 @@ def exact_jaccard(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarra
 
 
 def _confirm(size: int, per: int, of: int):
-    """Pairs with both texts -> those with ``of`` * intersection >= ``per`` * union."""
+    """Pairs with both texts -> those with ``of`` * intersection >= ``per`` * union. Pairs whose hashed sets are
+    farther apart than ``NEAR`` below the bound go first; the rest is decided by the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ta, tb = batch.column("ta"), batch.column("tb")
             for i, j in blocks(flat(ta)[1] + flat(tb)[1], BLOCK):
-                common, union = exact_jaccard(ta[i:j], tb[i:j], size)
-                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array((of * common >= per * union) & (common > 0)))
+                left, right = ta[i:j], tb[i:j]
+                buf, off, _ = flat(pa.concat_arrays([left, right]))
+                sets = list(shingle_sets(buf, off, size))
+                near = np.zeros(j - i, bool)
+                for r, (s, t) in enumerate(zip(sets[: j - i], sets[j - i :], strict=True)):
+                    if of * min(len(s), len(t)) >= (per - of / NEAR) * max(len(s), len(t)):
+                        both = np.sort(np.concatenate((s, t)))
+                        common = int((both[1:] == both[:-1]).sum())
+                        near[r] = common > 0 and of * common >= (per - of / NEAR) * (len(both) - common)
+                some = batch.slice(i, j - i).select(["a", "b"]).filter(pa.array(near))
+                if some.num_rows:
+                    common, union = exact_jaccard(left.filter(pa.array(near)), right.filter(pa.array(near)), size)
+                    yield some.filter(pa.array((of * common >= per * union) & (common > 0)))
 
     return run
 
