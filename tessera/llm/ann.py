@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
-The neighbour graph of a bounded sample is cut into balanced parts by recursive spectral bisection
-with swaps. A small network learns in which parts a vector's neighbours lie. It places every row of
-the index in its most probable part, and sends a query to as many of its most probable parts as held
-a target recall on a held-out part of the sample; the rows found there are ranked by exact cosine. A part
-with many rows is cut into blocks; each block returns the best k of a query only.
+The neighbour graph of a bounded sample is cut into balanced parts by recursive spectral bisection with
+swaps; their number grows with the root of the rows, up to ``PARTS``. A small network learns in which parts
+a vector's neighbours lie. It places every row of the index in its most probable part, and sends a query to
+as many of its most probable parts as held the target recall, less a standard error, on a held-out part of
+the sample; the rows found there are ranked by exact cosine.
+
+A part is searched in tiles: a task holds up to ``HELD`` of its queries and lets up to ``STREAM`` of its rows
+pass, keeping the best k of each query. So a row is copied once per ``HELD`` queries of its part, and a query
+once per ``STREAM`` rows.
 
 Rows: null, zero and non-finite vectors and null ids take no part; vectors of another length than
 most meet all vectors of their own length; a query's own id is no candidate; rows that repeat are
@@ -25,10 +29,12 @@ from .store import saved
 from .vectors import from_bytes, matrix, sample, scaled, unit, valid
 
 #: Vectors that the parts and the network are learned from, at most.
-SAMPLE = 6144
-#: Rows wanted in a part, rows of a block, parts at most, queries compared at once.
-PART, BLOCK, PARTS, BATCH = 4096, 8192, 256, 256
-NEIGHBOURS, HIDDEN, EPOCHS, TARGET = 10, 96, 30, 0.97
+SAMPLE = 16_384
+#: Parts at most, sampled vectors of a part at least.
+PARTS, LEAST = 512, 24
+#: Queries that a task holds, rows that it lets pass, and those of either that are compared at once.
+HELD, STREAM, QUERIES, ROWS = 16_384, 262_144, 1024, 1024
+NEIGHBOURS, HIDDEN, EPOCHS, TARGET = 10, 96, 20, 0.93
 
 
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -113,9 +119,8 @@ def _train(x: np.ndarray, goal: np.ndarray, seed: int) -> list[np.ndarray]:
 
 def fit(vectors: np.ndarray, dim: int, rows: int, k: int, target: float = TARGET, seed: int = 0) -> Router:
     """A router for ``rows`` rows, learned from a sample; the last tenth of it only sets the probes."""
-    parts = 1 << int(np.clip(np.ceil(np.log2(max(1, rows / PART))), 0, np.log2(PARTS)))
-    while parts > 1 and len(vectors) // parts < 4 * NEIGHBOURS:
-        parts //= 2
+    wish = np.ceil(np.log2(max(1.0, rows**0.5)))
+    parts = 1 << int(np.clip(min(wish, np.floor(np.log2(max(1.0, len(vectors) / LEAST)))), 0, np.log2(PARTS)))
     if parts == 1:
         return Router(dim, 1, [np.zeros((max(dim, 1), 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
     x = unit(vectors)
@@ -134,7 +139,8 @@ def fit(vectors: np.ndarray, dim: int, rows: int, k: int, target: float = TARGET
     place = np.argsort(order, axis=1)
     at = np.take_along_axis(place, home[true], axis=1)
     for n in range(1, parts + 1):
-        if (at < n).mean() >= target:
+        hit = (at < n).mean()
+        if hit - (hit * (1 - hit) / at.size) ** 0.5 >= target:
             router.probes = n
             break
     return router
@@ -169,49 +175,66 @@ def _placer(router: Router, sizes: dict[int, int] | None, k: int):
     return run
 
 
-def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query the k nearest: row of the query, ids, cosines."""
-    rough = unit(q) @ unit(x).T
-    rough[qid[:, None] == ids[None]] = -9
-    kth = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -8.0)
-    qs, xs = scaled(q), scaled(x)
-    qn, xn = np.sqrt((qs * qs).sum(axis=1)), np.sqrt((xs * xs).sum(axis=1))
-    for i in range(len(q)):
-        c = np.flatnonzero((rough[i] >= kth[i] - 1e-9) & (rough[i] > -8))
-        score = (xs[c] * qs[i]).sum(axis=1) / (xn[c] * qn[i])
-        order = np.lexsort((ids[c], -score))[:k]
-        yield i, ids[c][order], score[order]
+class _Tile:
+    """Queries of a tile and the k nearest of each among the rows that have passed."""
+
+    def __init__(self, q: np.ndarray, ids: np.ndarray, keys: list[np.ndarray], k: int):
+        self.unit, self.q, self.ids, self.keys, self.k = unit(q), scaled(q), ids, keys, k
+        self.norm = np.sqrt((self.q * self.q).sum(axis=1))
+        self.score, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, x: np.ndarray, ids: np.ndarray) -> None:
+        """Rows that pass. What the rough product lets through is compared by its exact cosine."""
+        ux, sx = unit(x), scaled(x)
+        nx = np.sqrt((sx * sx).sum(axis=1))
+        for lo in range(0, len(self.q), QUERIES):
+            hi = min(lo + QUERIES, len(self.q))
+            rough = self.unit[lo:hi] @ ux.T
+            i, j = np.nonzero((rough >= self.score[lo:hi, -1:] - 1e-9) & (self.ids[lo:hi, None] != ids[None]))
+            if not len(i):
+                continue
+            exact = np.concatenate([np.einsum("ij,ij->i", sx[j[a : a + 65536]], self.q[lo + i[a : a + 65536]]) for a in range(0, len(i), 65536)]) / (nx[j] * self.norm[lo + i])
+            rows = np.unique(i)
+            who = np.concatenate((i, np.repeat(rows, self.k)))
+            score, found = np.concatenate((exact, self.score[lo + rows].ravel())), np.concatenate((ids[j], self.found[lo + rows].ravel()))
+            order = np.lexsort((found, -score, who))
+            first = np.searchsorted(who[order], rows)
+            best = order[first[:, None] + np.arange(self.k)]
+            self.score[lo + rows], self.found[lo + rows] = score[best], found[best]
+
+    def rows(self) -> pa.RecordBatch:
+        i, c = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), *(pa.array(h[i]) for h in self.keys), pa.array(self.found[i, c]), pa.array(self.score[i, c])], names=["q", "h1", "h2", "id", "score"])
 
 
 def _searcher(k: int):
-    """Rows sorted by (dim, part, block, kind): kind 0 rows of the index, then kind 1 queries."""
+    """Rows sorted by (dim, part, qtile, rtile, kind, id): kind 0 the tile's queries, then kind 1 rows of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, xs, ids, ready = None, [], [], None
+        now, held, tile = None, [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "block", "kind")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "qtile", "rtile", "kind")), strict=True))
             cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if lo == hi:
                     continue
-                if keys[lo][:3] != now:
-                    now, xs, ids, ready = keys[lo][:3], [], [], None
-                dim = keys[lo][0]
-                for a in range(lo, hi, BATCH):
-                    part = batch.slice(a, min(BATCH, hi - a))
-                    x, i = from_bytes(part.column("x"), dim), part.column("id").to_numpy()
-                    if keys[lo][3] == 0:
-                        xs.append(x)
-                        ids.append(i)
-                        continue
-                    if not xs:
+                if keys[lo][:4] != now:
+                    if tile is not None:
+                        yield tile.rows()
+                    now, held, tile = keys[lo][:4], [], None
+                for a in range(lo, hi, ROWS):
+                    part = batch.slice(a, min(ROWS, hi - a))
+                    x, i = from_bytes(part.column("x"), now[0]), part.column("id").to_numpy()
+                    if keys[lo][4] == 0:
+                        held.append((x, i, part.column("h1").to_numpy(), part.column("h2").to_numpy()))
                         continue
-                    if ready is None:
-                        ready = np.concatenate(xs), np.concatenate(ids)
-                    out: list[tuple] = []
-                    for row, found, score in _best(x, i, *ready, k):
-                        out += [(int(i[row]), part.column("x")[row].as_py(), f, s) for f, s in zip(found.tolist(), score.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64())], names=["q", "x", "id", "score"])
+                    if tile is None and held:
+                        q, ids, h1, h2 = (np.concatenate(c) for c in zip(*held, strict=True))
+                        held, tile = [], _Tile(q, ids, [h1, h2], k)
+                    if tile is not None:
+                        tile.add(x, i)
+        if tile is not None:
+            yield tile.rows()
 
     return run
 
@@ -229,13 +252,18 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
     index = saved(rows.mapInArrow(_placer(router, None, k), schema), "index").withColumn("part", F.col("parts")[0])
     counts = index.groupBy("dim", "part").count()
     held = {r["part"]: r["count"] for r in counts.where(F.col("dim") == dim).collect()}  # at most PARTS rows
-    sizes = counts.select("dim", "part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    sent = asked.mapInArrow(_placer(router, held, k), schema).withColumn("part", F.explode("parts"))
-    columns = ["dim", "part", "block", "kind", "id", "x"]
-    members = index.join(sizes, ["dim", "part"]).withColumns({"block": F.pmod(F.xxhash64("id", "x"), "blocks").cast("int"), "kind": F.lit(0)})
-    sent = sent.join(sizes, ["dim", "part"]).withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "kind": F.lit(1)})
-    cells = members.select(*columns).union(sent.select(*columns)).repartition("dim", "part", "block").sortWithinPartitions("dim", "part", "block", "kind")
-    found = cells.mapInArrow(_searcher(k), "q long, x binary, id long, score double")
-    best = Window.partitionBy("q", "x").orderBy(F.desc("score"), "id")
+    sent = saved(asked.mapInArrow(_placer(router, held, k), schema), "queries").withColumn("part", F.explode("parts"))
+    tiles = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = counts.join(sent.groupBy("dim", "part").agg(F.count("*").alias("asked")), ["dim", "part"]).select("dim", "part", tiles("asked", HELD).alias("across"), tiles("count", STREAM).alias("down"))
+    dealt = lambda n: F.pmod(F.xxhash64("id", "x"), n).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    columns = ["dim", "part", "qtile", "rtile", "kind", "id", "h1", "h2", "x"]
+    none = F.lit(0).cast("long")
+    members = index.join(sizes, ["dim", "part"]).withColumns({"rtile": dealt("down"), "kind": F.lit(1), "h1": none, "h2": none}).withColumn("qtile", every("across"))
+    asking = sent.join(sizes, ["dim", "part"]).withColumns({"qtile": dealt("across"), "kind": F.lit(0), "h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), "x")}).withColumn("rtile", every("down"))
+    place = columns[:4]
+    cells = asking.select(*columns).union(members.select(*columns)).repartition(*place).sortWithinPartitions(*place, "kind", "id")
+    found = cells.mapInArrow(_searcher(k), "q long, h1 long, h2 long, id long, score double")
+    best = Window.partitionBy("q", "h1", "h2").orderBy(F.desc("score"), "id")
     out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
