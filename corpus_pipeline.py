@@ -27,11 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling as in op7_quality; documents that are not drawn go. An id stays with all its
     rows if one of them is drawn; rows without an id are told apart, and decided, by their text."""
     ship(spark)
-    learn, check = importance.halves(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", F.col("quality") == 1)
+    sample, share = importance.targets(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", F.col("quality") == 1)
     marked = docs.withColumn("_text", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
-    scored = importance.score(marked.withColumn("_row", F.struct("doc_id", "_text")), importance.fit(docs, learn), "_row")
-    scored = saved(scored.select("_row.doc_id", "_row._text", "score"), "weights")
-    drawn = importance.resample(scored, least=importance.threshold(scored, check)).where("selected")
+    weighted = importance.score(marked.withColumn("_row", F.struct("doc_id", "_text")), importance.fit(docs, sample), "_row")
+    weighted = saved(weighted.select("_row.doc_id", "_row._text", "log_weight"), "weights")
+    drawn = importance.resample(weighted, share=share).where("selected")
     drawn = drawn.select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t"))
     return marked.join(drawn, same, "left_semi").select(*docs.columns)

@@ -3,16 +3,15 @@
 A document's log weight is the sum over its word n-grams (one and two words, A-Z lower-cased) of the
 log ratio of the n-gram's bucket under the target model to that under the raw model. The raw model
 counts every document; the target model counts those that a bounded sample of labelled ids marks
-(``max_labels``). A sum of n terms spreads with the square root of n, so the score is the log weight
-over that root: long and short documents are held to one measure. Documents are then drawn without
-replacement: the k largest sums of score / temperature and Gumbel noise. Unless given, k is
-the number of documents whose score reaches the cut that tells labelled documents apart best, on the
-half of the labels that the target model has not seen.
+(``max_labels``) and is smoothed by the raw one. Documents are drawn without replacement, in proportion to
+their weights: the k largest sums of log weight and standard Gumbel noise. Unless given, k is the share of
+targets among all labelled documents times the number of documents with words, so that the sample is as
+large as the target part of the corpus.
 
 Rows: texts without words (null, empty) have no weight and are never drawn; documents that share an
-id share their noise; documents that tie at the cut are all drawn; a null id has noise of its own;
-extra columns may have any name; an empty table gives an empty result; without labels of both kinds
-every text with words is drawn.
+id share their noise, and so do those without one; documents that tie at the k-th sum are all drawn; extra
+columns may have any name; an empty table gives an empty result; without a labelled target every text with
+words is drawn.
 """
 
 from __future__ import annotations
@@ -28,11 +27,8 @@ from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
 from .memory import released
 
 BLOCK = 4 << 20
-#: Labelled ids of either half, at most; the table of them is broadcast (9 bytes an id).
-MAX_LABELS = 30_000
-#: How much worse it is to reject a target than to keep another document, per share of either.
-CARE = 5.0
-TEMPERATURE = 0.002
+#: Labelled ids that the target model is made from, at most; the table of them is broadcast (9 bytes an id).
+MAX_LABELS = 60_000
 BUCKETS = 1 << 14
 
 
@@ -80,21 +76,20 @@ def _scorer(ratio: np.ndarray):
     return run
 
 
-def halves(labels: DataFrame, id_col: str, target: Column, max_labels: int = MAX_LABELS) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint samples ``(_t, _good)`` of labelled ids, for fitting and for the cut, each of
-    ``max_labels`` ids at most: those with the lowest hashes, by a bound on the hash."""
+def targets(labels: DataFrame, id_col: str, target: Column, max_labels: int = MAX_LABELS) -> tuple[DataFrame, float | None]:
+    """A sample ``(_t)`` of at most ``max_labels`` labelled targets, those with the lowest hashes, by a bound on the
+    hash; and the share of targets among all labelled ids, None if there is no target."""
     ids = labels.where(F.col(id_col).isNotNull() & target.isNotNull()).groupBy(F.col(id_col).alias("_t")).agg(F.max(target).alias("_good"))
-    ids = ids.withColumn("_h", F.pmod(F.xxhash64(F.lit(3), "_t"), F.lit(1 << 30)))
-    total = ids.count()
-    share = 1.0 if total <= max_labels else max(0.0, 2 * max_labels / total - 8 * max_labels**0.5 / total)
-    few = ids.where(F.col("_h") < int(min(1.0, share) * (1 << 30)))
-    return tuple(few.where(F.col("_h") % 2 == k).select("_t", "_good").limit(max_labels) for k in (0, 1))  # type: ignore[return-value]
+    total, good = ids.agg(F.count("*"), F.count_if("_good")).first()
+    few = ids.where("_good").withColumn("_h", F.pmod(F.xxhash64(F.lit(3), "_t"), F.lit(1 << 30)))
+    bound = 1.0 if good <= max_labels else max(0.0, (max_labels - 4 * max_labels**0.5) / good)
+    return few.where(F.col("_h") < int(bound * (1 << 30))).select("_t").limit(max_labels), good / total if good else None
 
 
-def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smooth: float = 0.3) -> np.ndarray:
-    """Log ratio of each bucket; ``sample`` as from :func:`halves`. ``buckets`` sums reach the driver."""
-    ids = sample.where("_good").select("_t")
-    marked = df.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), F.col("_i") == F.col("_t"), "left")
+def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smooth: float = 0.3, prior: float = 10.0) -> np.ndarray:
+    """Log ratio of each bucket; ``sample`` as from :func:`targets`. The target model takes the raw one with the
+    weight of ``smooth`` of its own n-grams and ``prior`` n-grams a bucket. ``buckets`` sums reach the driver."""
+    marked = df.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), F.col("_i") == F.col("_t"), "left")
     counts = marked.select("text", F.col("_t").isNotNull().alias("target")).mapInArrow(released(_counter(buckets)), "bucket long, raw long, target long")
     sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -103,30 +98,15 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str
     if not target.sum():
         return np.zeros(buckets)
     p = (raw + 1) / (raw.sum() + buckets)
-    weight = smooth * target.sum()
+    weight = smooth * target.sum() + prior * buckets
     return np.log((target + weight * p) / (target.sum() + weight)) - np.log(p)
 
 
 def score(df: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_grams, log_weight, score)``; weight and score of a text without words are null."""
+    """``(id_col, n_grams, log_weight)``; the weight of a text without words is null."""
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(_scorer(ratio)), f"id {kind}, n_grams long, log_weight double")
-    return out.select(F.col("id").alias(id_col), "n_grams", "log_weight", (F.col("log_weight") / F.sqrt("n_grams")).alias("score"))
-
-
-def threshold(scored: DataFrame, sample: DataFrame, id_col: str = "doc_id", care: float = CARE) -> float:
-    """The score that tells the sample's documents apart with the least loss."""
-    rows = scored.join(F.broadcast(sample), F.col(id_col) == F.col("_t")).where("score is not null").groupBy("_t").agg(F.min("score").alias("score"), F.first("_good").alias("good")).collect()
-    good = np.sort([r["score"] for r in rows if r["good"]])
-    bad = np.sort([r["score"] for r in rows if not r["good"]])
-    if not len(good) or not len(bad):
-        return float("-inf")
-    cuts = np.unique(np.concatenate((good, bad, [bad[-1] + 1e-9])))
-    loss = care * np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
-    best = np.flatnonzero(loss <= loss.min() + 1e-12)
-    low = cuts[best[0]]
-    below = max(np.max(bad[bad < low], initial=-np.inf), np.max(good[good < low], initial=-np.inf))
-    return float(low if np.isinf(below) else (low + below) / 2)
+    return out.withColumnRenamed("id", id_col)
 
 
 def noise(id_col: str, seed: int) -> Column:
@@ -165,12 +145,12 @@ def cut(keys: DataFrame, k: int, bins: int = 1024, few: int = 1000) -> float | N
     raise RuntimeError("keys changed between reads")
 
 
-def resample(scored: DataFrame, id_col: str = "doc_id", least: float = 0.0, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
-    """Adds ``key`` and ``selected``: Gumbel top-k, k by default the number of scores that reach
-    ``least``. ``scored`` is read several times and should be a table."""
-    keyed = scored.withColumn("key", F.col("score") / temperature + noise(id_col, seed))
-    if k is None:
-        k = scored.where(F.col("score") >= F.lit(least)).count()
-    bound = cut(keyed.select("key"), k)
+def resample(weighted: DataFrame, id_col: str = "doc_id", share: float | None = None, k: int | None = None, seed: int = 0) -> DataFrame:
+    """Adds ``key`` and ``selected``: Gumbel top-k, k by default ``share`` of the rows that have a weight, all without
+    a share. ``weighted`` is read several times and should be a table."""
+    keyed = weighted.withColumn("key", F.col("log_weight") + noise(id_col, seed))
+    if k is None and share is not None:
+        k = int(share * weighted.where("log_weight is not null").count() + 0.5)
+    bound = None if k is None else cut(keyed.select("key"), k)
     chosen = F.col("key").isNotNull() if bound is None else F.col("key") >= F.lit(bound)
     return keyed.withColumn("selected", F.coalesce(chosen, F.lit(False)))

@@ -57,10 +57,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their scores and whether the resampling draws them; targets have quality 1."""
-    learn, check = importance.halves(labels, "doc_id", F.col("quality") == 1)
-    scored = saved(importance.score(docs, importance.fit(docs, learn)), "weights")
-    return importance.resample(scored, least=importance.threshold(scored, check))
+    """Documents with their weights and whether the resampling draws them; targets have quality 1."""
+    sample, share = importance.targets(labels, "doc_id", F.col("quality") == 1)
+    return importance.resample(saved(importance.score(docs, importance.fit(docs, sample)), "weights"), share=share)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

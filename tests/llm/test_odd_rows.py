@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_operators import groups_of, tokens_of
 
 from tessera.llm import importance, mixing
-from tessera.llm.queries import quality as scored_quality
+from tessera.llm.queries import quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 GOOD = "the river carries clear water past the old stone mill and the quiet green fields of summer"
@@ -43,7 +43,7 @@ def test_quality_decides_rows_without_id(spark, labelled):
     assert out.columns == docs.columns
     left = [tuple(r) for r in out.collect()]
     assert [r for r in odd if r in left] == odd[:2]
-    drawn = scored_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected")
+    drawn = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected")
     assert len(left) == drawn.count()
     assert {r[0] for r in left} == {r["doc_id"] for r in drawn.collect()}
 
@@ -68,37 +68,61 @@ def hashes(spark, ids, *before):
     return {r["i"]: r["h"] for r in d.collect()}
 
 
-def plain_quality(spark, rows, labels):
-    split = hashes(spark, labels, F.lit(3))
-    learn, check = ({i: q == 1 for i, q in labels.items() if split[i] % (1 << 30) % 2 == k} for k in (0, 1))
+def plain_weights(rows, targets):
+    """Log weight of each (id, text), by the definition."""
     grams = []
-    for r in rows:
-        text = np.frombuffer((r[1] or "").encode(), np.uint8)
+    for _, t in rows:
+        text = np.frombuffer((t or "").encode(), np.uint8)
         grams.append(importance._grams(text, np.array([0, len(text)]), importance.BUCKETS)[0].tolist())
     raw, target = Counter(), Counter()
-    for r, g in zip(rows, grams, strict=True):
+    for (i, _), g in zip(rows, grams, strict=True):
         raw.update(g)
-        target.update(g if learn.get(r[0]) else [])
+        target.update(g if i in targets else [])
     n, m, size = raw.total(), target.total(), importance.BUCKETS
     p = lambda b: (raw[b] + 1) / (n + size)
-    ratio = lambda b: math.log((target[b] + 0.3 * m * p(b)) / (1.3 * m)) - math.log(p(b))
-    scores = [sum(map(ratio, g)) / len(g) ** 0.5 if g else None for g in grams]
-    lowest = {}
-    for r, s in zip(rows, scores, strict=True):
-        if r[0] in check and s is not None:
-            lowest[r[0]] = min(s, lowest.get(r[0], s))
-    cuts = sorted(lowest.values())
-    loss = lambda c: importance.CARE * np.mean([lowest[i] < c for i in lowest if check[i]]) + np.mean([lowest[i] >= c for i in lowest if not check[i]])
-    at = min(range(len(cuts)), key=lambda j: (round(loss(cuts[j]), 9), j))
-    least = (cuts[at] + cuts[at - 1]) / 2 if at else cuts[0]
-    noise = {i: -math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52))) for i, h in hashes(spark, [r[0] for r in rows], F.lit(0)).items()}
-    keys = [None if s is None else s / importance.TEMPERATURE + noise[r[0]] for r, s in zip(rows, scores, strict=True)]
-    bound = sorted((k for k in keys if k is not None), reverse=True)[sum(s is not None and s >= least for s in scores) - 1]
-    drawn = [k is not None and k >= bound - 1e-6 for k in keys]
+    w = 0.3 * m + 10 * size
+    ratio = lambda b: math.log((target[b] + w * p(b)) / (m + w)) - math.log(p(b))
+    return [sum(map(ratio, g)) if g else None for g in grams]
+
+
+def plain_draw(spark, ids, weights, share):
+    """The documents with the largest sums of weight and noise."""
+    noise = {i: -math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52))) for i, h in hashes(spark, ids, F.lit(0)).items()}
+    keys = [None if w is None else w + noise[i] for i, w in zip(ids, weights, strict=True)]
+    real = sorted((k for k in keys if k is not None), reverse=True)
+    bound = real[int(share * len(real) + 0.5) - 1]
+    return [k is not None and k >= bound - 1e-9 for k in keys]
+
+
+def plain_quality(spark, rows, labels):
+    weights = plain_weights([r[:2] for r in rows], {i for i, q in labels.items() if q == 1})
+    drawn = plain_draw(spark, [r[0] for r in rows], weights, np.mean([q == 1 for q in labels.values()]))
     whole = {r[0] for r, d in zip(rows, drawn, strict=True) if d and r[0] is not None}
     return [r for r, d in zip(rows, drawn, strict=True) if d or r[0] in whole]
 
 
+def test_quality_is_a_weighted_draw(spark):
+    """Weights and draw by their definitions; the noise decides between weights that are near each other."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(words[:20] if i % 3 else words[10:], r.integers(1, 5)))) for i in range(400)] + [(900, None), (901, ""), (902, " \t")]
+    labels = {i: int(i % 3 > 0) for i in range(0, 400, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("selected", F.lit(2)).repartition(4)
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality(docs, table).collect()}
+    weights = plain_weights(rows, {i for i, q in labels.items() if q == 1})
+    share = np.mean(list(labels.values()))
+    drawn = plain_draw(spark, [i for i, _ in rows], weights, share)
+    for (i, _), w, d in zip(rows, weights, drawn, strict=True):
+        assert (got[i]["log_weight"] is None) == (w is None) and (w is None or abs(got[i]["log_weight"] - w) < 1e-9)
+        assert got[i]["selected"] == d
+    best = sorted((w for w in weights if w is not None), reverse=True)[sum(drawn) - 1]
+    moved = sum(d and w < best for w, d in zip(weights, drawn, strict=True))
+    assert sum(drawn) == int(share * 400 + 0.5) and moved > 10
+    assert all(x["selected"] == (x["log_weight"] is not None) for x in quality(docs, table.where("quality = 0")).collect())
+    assert quality(docs.where("false"), table).count() == 0
+
+
 def plain_near_duplicates(rows):
     digest = lambda t: "" if t is None else hashlib.sha256(t.encode()).hexdigest()
     nodes = sorted({(r[0], digest(r[1]), r[1]) for r in rows if r[0] is not None}, key=lambda x: x[:2])
