@@ -13,10 +13,11 @@
    each class its best partner and its smallest, then those pairs whose classes are not yet connected.
 4. The sweep makes the width no cap: in every region of ``prefix`` values with more rows than ``width``
    pairs exhaustively, the rows outside the region's largest component so far are compared with all its
-   rows of other components, in square blocks of bounded size, by their ``low`` smallest shingle hashes
-   (of most texts the whole set, so that the comparison is exact); what may link is confirmed like the
-   rest. So each two rows that share a region end connected if they link. Its arithmetic grows with the
-   product of those two counts, and the rows it makes with that product over ``SIDE``; only its pairs stay few.
+   rows of other components, by their ``low`` smallest shingle hashes (of most texts the whole set; of all, if
+   ``low`` is None); what may link is confirmed like the rest. So each two rows that share a region end
+   connected if they link. A task holds some of those rows as an index from hashes to rows and lets the
+   region's rows pass. Of a region with d such rows and m in all each row is sent max(64, d / ``HELD``) times at
+   most, and each of the d 64 times; arithmetic grows with the pairs that share a hash.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Rows: texts without words (null,
 empty) have empty sets and link with nothing; rows that share an id are one node; a row with a null id
@@ -46,8 +47,9 @@ BLOCK = 2 << 20
 BATCH = 1000
 #: Rows of the sieve table that is broadcast, at most: 64 bits each, 4 MB in all.
 SIEVE = 1 << 18
-#: Rows on each side of a square block of the sweep, about.
-SIDE = 1024
+#: Rows on each side of a tile of the sweep at least, those that it holds at most, and tiles along a side up to that;
+#: rows that pass at once, and entries of the index that they meet.
+SIDE, HELD, ALONG, PASS, HITS = 1024, 8192, 64, 128, 1 << 23
 #: Hashed sets down to one part in so many below the bound are compared word by word.
 NEAR = 20
 #: Tasks among which the pairs of one text are dealt.
@@ -184,8 +186,8 @@ def _sieved(df: DataFrame, wanted: DataFrame, col: str = "id", bits: int = SIEVE
     return df.withColumns({"_w": word, "_b": mark}).join(F.broadcast(table), "_w").where("(_m & _b) <> 0").drop("_w", "_m", "_b")
 
 
-def _lowest(size: int, low: int):
-    """Texts -> number of shingles and the ``low`` smallest of their hashes."""
+def _lowest(size: int, low: int | None):
+    """Texts -> number of shingles and the ``low`` smallest of their hashes, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,45 +199,82 @@ def _lowest(size: int, low: int):
     return run
 
 
-def _sweep(low: int, per: int, of: int):
-    """A square block of one region -> pairs of different components that may link: exactly those that do
-    where both sets are whole, else those within five standard deviations of the bound."""
-    least = per / of - 5 * (per / of * (1 - per / of) / low) ** 0.5
-
-    def run(block: pa.Table) -> pa.Table:
-        ids, n, comp, stray = (block.column(c).to_numpy() for c in ("id", "n", "component", "stray"))
-        buf, off, _ = flat(block.column("low"))
-        values, codes = np.unique(np.frombuffer(buf.tobytes(), U64), return_inverse=True)
-        off = off // 8
-        count, whole = np.diff(off), len(values)
-        reach = np.where(n > count, codes[np.maximum(off[1:], 1) - 1], whole)  # hashes up to here are all known
-        rows = np.flatnonzero(~stray & (count > 0))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(rows):
-            own = np.repeat(~stray, count)
-            body, starts = codes[own], np.concatenate(([0], np.cumsum(count[rows])[:-1]))
-            all_whole = (reach[rows] == whole).all()
-            marked = np.zeros(whole, bool)
-            for x in np.flatnonzero(stray & (count > 0)):
-                mine = codes[off[x] : off[x + 1]]
-                marked[mine] = True
-                hit, top, theirs, ours = marked[body], np.minimum(reach[rows], reach[x]), count[rows], count[x]
-                if not (all_whole and reach[x] == whole):
-                    under = body <= np.repeat(top, count[rows])
-                    hit &= under
-                    theirs, ours = np.add.reduceat(under, starts, dtype=np.int64), np.searchsorted(mine, top, "right")
-                common = np.add.reduceat(hit, starts, dtype=np.int64)
-                union = theirs + ours - common
-                ok = (comp[rows] != comp[x]) & np.where(top == whole, of * common >= per * union, common >= least * union)
-                a.append(np.minimum(ids[rows[ok]], ids[x]))
-                b.append(np.maximum(ids[rows[ok]], ids[x]))
-                marked[mine] = False
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+class _Tile:
+    """Strays of a region, as an index from shingle hashes."""
+
+    def __init__(self, batches: list[pa.RecordBatch], per: int, of: int, low: int | None):
+        self.per, self.of = per, of
+        self.least = per / of - 5 * (per / of * (1 - per / of) / (low or 1)) ** 0.5
+        self.ids, self.comp, self.n, self.count, values = (np.concatenate(c) for c in zip(*map(self.parts, batches), strict=True))
+        order = np.argsort(values, kind="stable")
+        self.values, self.rows = values[order], np.repeat(np.arange(len(self.ids), dtype=np.int32), self.count)[order]
+        self.sets = np.split(values, np.cumsum(self.count)[:-1])
+
+    @staticmethod
+    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Ids, components, set sizes, known hashes and those hashes, one row after the other."""
+        buf, off, _ = flat(batch.column("low"))
+        return (*(batch.column(c).to_numpy() for c in ("id", "component", "n")), np.diff(off) // 8, np.frombuffer(buf.tobytes(), U64))
+
+    def parts_of(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch in runs of rows that meet at most ``HITS`` entries of the index, or of one row."""
+        values, count = self.parts(batch)[4], self.parts(batch)[3]
+        hits = np.searchsorted(self.values, values, "right") - np.searchsorted(self.values, values, "left")
+        met = np.concatenate(([0], np.cumsum(hits)))[np.concatenate(([0], np.cumsum(count)))]
+        for i, j in blocks(met, HITS):
+            yield batch.slice(i, j - i)
+
+    def pairs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Strays and passing rows of other components that may link: exactly those that do where both sets are
+        whole, else those within five standard deviations of the bound on the hashes that both know."""
+        ids, comp, n, count, values = self.parts(batch)
+        lo, hi = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
+        hits = hi - lo
+        at = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
+        row = np.repeat(np.repeat(np.arange(len(ids)), count), hits)
+        key, common = np.unique(row * len(self.ids) + self.rows[at], return_counts=True)
+        r, x = key // len(self.ids), key % len(self.ids)
+        keep = (comp[r] != self.comp[x]) & (ids[r] != self.ids[x])
+        r, x, common = r[keep], x[keep], common[keep]
+        union = count[r] + self.count[x] - common
+        ok = self.of * common >= self.per * union
+        part = np.flatnonzero((n[r] > count[r]) | (self.n[x] > self.count[x]))
+        begin = np.cumsum(count) - count
+        for k in part.tolist():
+            mine, theirs = values[begin[r[k]] : begin[r[k]] + count[r[k]]], self.sets[x[k]]
+            top = min(mine[-1] if n[r[k]] > count[r[k]] else U64(2**64 - 1), theirs[-1] if self.n[x[k]] > self.count[x[k]] else U64(2**64 - 1))
+            known = int(np.searchsorted(mine, top, "right") + np.searchsorted(theirs, top, "right") - common[k])
+            ok[k] = common[k] >= self.least * known
+        return np.minimum(ids[r[ok]], self.ids[x[ok]]), np.maximum(ids[r[ok]], self.ids[x[ok]])
+
+
+def _sweep(low: int | None, per: int, of: int):
+    """Rows sorted by (region, x, y, kind): kind 0 a tile's strays, then kind 1 the rows that pass -> pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tile = None, [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "kind")), strict=True))
+            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if lo == hi:
+                    continue
+                if keys[lo][:3] != now:
+                    now, held, tile = keys[lo][:3], [], None
+                if keys[lo][3] == 0:
+                    held.append(batch.slice(lo, hi - lo))
+                    continue
+                if tile is None and held:
+                    tile, held = _Tile(held, per, of, low), []
+                for k in range(lo, hi, PASS) if tile is not None else ():
+                    for part in tile.parts_of(batch.slice(k, min(PASS, hi - k))):
+                        a, b = tile.pairs(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, components: DataFrame, orders: int, prefix: int, size: int, low: int, per: int, of: int) -> DataFrame:
+def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, components: DataFrame, orders: int, prefix: int, size: int, low: int | None, per: int, of: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``classes(id, sig)`` that share one of ``regions``, lie in different
     ``components(node, component)`` and may link: one of the two is outside the region's largest component.
     Regions go by a 64-bit hash; two that share it are swept as one."""
@@ -245,16 +284,18 @@ def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, compon
     crowded = saved(crowded.select("region", "id", F.coalesce("component", "id").alias("component")), "crowded")
     parts = crowded.groupBy("region", "component").agg(F.count("*").alias("m")).join(regions, "region", "left_semi")
     figures = parts.groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("m > most")
-    blocks = lambda c: F.ceil(F.expr(c) / SIDE).cast("int")
-    figures = figures.select("region", "main", blocks("m").alias("across"), blocks("m - most").alias("down"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tiles = lambda rows, most: F.ceil(F.expr(rows) / F.greatest(F.lit(SIDE), F.least(F.lit(most), F.ceil(F.expr(rows) / ALONG)))).cast("int")
+    figures = figures.select("region", "main", tiles("m", 2**62).alias("across"), tiles("m - most", HELD).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = saved(crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(figures, ["region", "salt"]), "swept")
     lowest = _sieved(texts, rows.select("id").distinct()).select("id", "text").mapInArrow(released(_lowest(size, low)), "id long, n long, low binary")
     side = lambda hashed, out_of: F.pmod(F.xxhash64(F.col("id"), F.lit(hashed)), F.col(out_of)).cast("int")
     every = lambda out_of: F.explode(F.sequence(F.lit(0), F.col(out_of) - 1))
     held = ["region", "id", "component"]
-    all_rows = rows.select(*held, F.lit(False).alias("stray"), side(1, "across").alias("x"), every("down").alias("y"))
-    strays = rows.where("component <> main").select(*held, F.lit(True).alias("stray"), every("across").alias("x"), side(2, "down").alias("y"))
-    return all_rows.unionByName(strays).join(lowest, "id").groupBy("region", "x", "y").applyInArrow(_sweep(low, per, of), "a long, b long").distinct()
+    all_rows = rows.select(*held, F.lit(1).alias("kind"), side(1, "across").alias("x"), every("down").alias("y"))
+    strays = rows.where("component <> main").select(*held, F.lit(0).alias("kind"), every("across").alias("x"), side(2, "down").alias("y"))
+    place = ["region", "x", "y"]
+    dealt = all_rows.unionByName(strays).join(lowest, "id").select(*place, "kind", "id", "component", "n", "low").repartition(*place).sortWithinPartitions(*place, "kind")
+    return dealt.mapInArrow(released(_sweep(low, per, of)), "a long, b long").distinct()
 
 
 def exact_jaccard(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +353,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int)
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per: int = 80, of: int = 100,
-    orders: int = 20, prefix: int = 4, depth: int = 6, reach: int = 16, width: int = 3, crowd: int = 32, low: int = 1024, seed: int = 7,
+    orders: int = 20, prefix: int = 4, depth: int = 6, reach: int = 16, width: int = 3, crowd: int = 32, low: int | None = 1024, seed: int = 7,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row per input row. Rows link if
     ``of * intersection >= per * union``. With 20 orders of prefix 4 a pair at a similarity of 0.8

@@ -139,8 +139,8 @@ def plain_personal_data(rows):
     return [(r[0], mask(r[1]), *r[2:]) for r in rows]
 
 
-def plain_mixture(spark, rows):
-    size = lambda r: len((r[1] or "").split())
+def plain_mixture(rows):
+    size = lambda r: -(-len((r[1] or "").encode()) // 4)
     total = Counter()
     for r in rows:
         total[r[3]] += size(r)
@@ -148,7 +148,7 @@ def plain_mixture(spark, rows):
     for source, n in total.items():
         own = [r for r in rows if r[3] == source]
         full, rest = divmod(found.budgets[source], n) if n else (1, 0)
-        order = hashes(spark, [r[0] for r in own], F.lit(0), F.lit(full).cast("long"))
+        order = {i: int(hashlib.md5(f"0:{full}:{'' if i is None else i}".encode()).hexdigest()[:15], 16) for i in (r[0] for r in own)}
         used, more = 0, set()
         for h in sorted(set(order.values())):
             used += sum(size(r) for r in own if order[r[0]] == h)
@@ -170,7 +170,7 @@ def test_run_is_plain_python(spark, labelled):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     docs.write.parquet(f"{sf_dir}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    steps = [lambda x: plain_quality(spark, x, labels), plain_near_duplicates, plain_personal_data, lambda x: plain_mixture(spark, x)]
+    steps = [lambda x: plain_quality(spark, x, labels), plain_near_duplicates, plain_personal_data, plain_mixture]
     want = rows
     for (name, stage), plain in zip(corpus_pipeline.STAGES, steps, strict=False):
         got = [tuple(r) for r in stage(spark, spark.createDataFrame(want, SCHEMA), sf_dir).collect()]

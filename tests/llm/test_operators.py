@@ -1,6 +1,7 @@
 """Each operator against brute force on small whole tables, and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -178,7 +179,7 @@ def test_vectors_link_by_cosine(spark):
 
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(pq_dedup, "BLOCK", 7)
-    monkeypatch.setattr(pq_dedup, "LIST", 5)
+    monkeypatch.setattr(pq_dedup, "LEAST", 2)
     test_vectors_link_by_cosine(spark)
     assert pq_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -216,7 +217,7 @@ def test_near_duplicates_are_all_found(spark, docs, words):
         assert (g["n_shingles"], g["component_id"], g["kept"]) == (n, c, r["doc_id"] == c)
 
 
-@pytest.mark.parametrize("low, width, side", [(1024, 3, 1024), (40, 1, 50)])
+@pytest.mark.parametrize("low, width, side", [(1024, 3, 1024), (40, 1, 50), (None, 1, 20)])
 def test_near_duplicates_in_a_crowd(spark, monkeypatch, low, width, side):
     """A large group of near copies that no bucket may hold at once, and other texts among them; also
     where all hangs on the sweep, in small blocks and by parts of the sets."""
@@ -278,6 +279,31 @@ def test_archives_odd_rows(spark, chunk):
     assert warc.read_records(warc.write_archives(d.where("false"))).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Records of both versions, other types, plain and compressed, without this writer's fields."""
+    record = lambda version, kind, block, extra="": f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\n{extra}Content-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n".encode()
+    http = "Content-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://a/\r\n"
+    parts = [record("1.0", "warcinfo", "software: x"), record("1.0", "request", "GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request\r\n"), record("1.1", "response", "HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody é", http), record("1.1", "metadata", "")]
+    parts.append(record("1.0", "revisit", "HTTP/1.1 200 OK\r\n\r\n", http + "WARC-Refers-To: <urn:response>\r\nWARC-Payload-Digest: sha1:ABC\r\n"))
+    plain, packed = tmp_path / "a.warc", tmp_path / "b.warc.gz"
+    plain.write_bytes(b"".join(parts))
+    packed.write_bytes(b"".join(gzip.compress(p) for p in parts))
+    got = warc.read_records(spark.createDataFrame([(str(plain),), (str(packed),)], "path string")).collect()
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [("warcinfo", 11, sha("software: x"), None), ("request", 18, sha("GET / HTTP/1.1\r\n\r\n"), None), ("response", 7, sha("body é"), None), ("metadata", 0, sha(""), None), ("revisit", 0, "ABC", "<urn:response>")]
+    assert Counter((r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got) == Counter(2 * want)
+    (tmp_path / "c.warc").write_bytes(parts[2][:-10])
+    with pytest.raises(Exception, match="ends inside"):
+        warc.read_records(spark.createDataFrame([(str(tmp_path / "c.warc"),)], "path string")).collect()
+
+
+def test_hot_payload_and_least_revisit(spark):
+    rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(600, 0, -1)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    check_archive(rows, [dict(r.asDict(), page_id=int(r["id"]), refers_to=r["refers_to"] and int(r["refers_to"])) for r in warc.read_records(warc.write_archives(d)).collect()])
+    assert {r["record_type"] for r in warc.read_records(warc.write_archives(d, least_revisit=5)).where("payload_bytes < 5").collect()} == {"response"}
+
+
 # 6
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
