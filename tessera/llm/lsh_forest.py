@@ -287,7 +287,7 @@ def stray_pairs(classes: DataFrame, texts: DataFrame, regions: DataFrame, compon
     tiles = lambda rows, most: F.ceil(F.expr(rows) / F.greatest(F.lit(SIDE), F.least(F.lit(most), F.ceil(F.expr(rows) / ALONG)))).cast("int")
     figures = figures.select("region", "main", tiles("m", 2**62).alias("across"), tiles("m - most", HELD).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = saved(crowded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(figures, ["region", "salt"]), "swept")
-    lowest = _sieved(texts, rows.select("id").distinct()).select("id", "text").mapInArrow(released(_lowest(size, low)), "id long, n long, low binary")
+    lowest = _sieved(texts, rows.select("id")).select("id", "text").mapInArrow(released(_lowest(size, low)), "id long, n long, low binary")
     side = lambda hashed, out_of: F.pmod(F.xxhash64(F.col("id"), F.lit(hashed)), F.col(out_of)).cast("int")
     every = lambda out_of: F.explode(F.sequence(F.lit(0), F.col(out_of) - 1))
     held = ["region", "id", "component"]
@@ -344,11 +344,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, per: int, of: int)
     """Those of ``pairs(a, b)`` that hold on the full sets of ``texts(id, text)``, word by word. A text that many
     pairs begin with goes to them in ``SPREAD`` copies at most, dealt by the other id, so no task has all of them."""
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("salt"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     some = _sieved(texts, wanted).select("id", "text")
     left = some.join(dealt.select(F.col("a").alias("id"), "salt").distinct(), "id").select(F.col("id").alias("a"), "salt", F.col("text").alias("ta"))
     both = dealt.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"])
-    return both.select("a", "b", "ta", "tb").mapInArrow(released(_confirm(size, per, of)), "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(_confirm(size, per, of)), "a long, b long")
 
 
 def near_duplicates(
@@ -373,7 +373,7 @@ def near_duplicates(
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = saved(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
     joined = saved(connected_components(first.union(saved(confirmed(rest, texts, words, per, of), "links", BATCH))), "joined")
-    strays = stray_pairs(classes, texts, regions, joined, orders, prefix, words, low, per, of).join(pairs, ["a", "b"], "left_anti")
+    strays = stray_pairs(classes, texts, regions, joined, orders, prefix, words, low, per, of)
     strays = saved(confirmed(saved(strays, "strays", BATCH), texts, words, per, of), "links", BATCH)
     links = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(strays)
     copies = known.select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
