@@ -1,12 +1,15 @@
 """WARC archives through a chunked record table.
 
-A payload travels as rows (record, chunk number, bytes) of at most ``chunk_bytes``, both into the
-archives and out of them; rows read back carry the digest and length of the payload up to and
-including themselves, so no reader or writer holds a whole record. Payload digests are known before
-the archives are written: records with equal payloads are one response and revisits that refer to it.
+Writing cuts the pages into a saved table once: a head row per page (identity, digest, size) and rows (page,
+chunk number, bytes) of at most ``chunk_bytes``, made one after the other. A page's chunks are left out where its
+task has seen the same payload under a smaller id, as it is then no response. Heads alone decide which record
+of equal payloads (by SHA-256) is the response; then heads and chunks meet in one shuffle, and chunks
+stream into the archives. Reading gives the chunk rows back, each with the digest and length of the payload
+up to and including itself, so no reader or writer holds a whole record.
 
-Archives are gzip members, one per record, in files of the shared folder; a task writes under a name
-of its own and renames it at the end, so a task that runs again, or twice, leaves one whole file.
+Archives are gzip members, one per record, in files of about ``ARCHIVE`` payload bytes in the shared folder; a task
+writes under a name of its own and renames it at the end, so a task that runs again, or twice, leaves one whole
+file. The reader takes any records of WARC 1.0 and 1.1, compressed or not, and of other writers.
 
 Rows: a null payload counts as empty; of records with equal payloads and the smallest id all are
 responses (rows that repeat); a null id is larger than any other; a null URL is written empty; extra
@@ -28,14 +31,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .memory import released
 from .store import new_path, saved
 
 CHUNK = 1 << 20
+#: Payload bytes of an archive, about; keys of equal payloads are dealt to so many groups.
+ARCHIVE, SALTS = 512 << 20, 256
 #: Fixed values of the format.
-VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+VERSION, VERSIONS, PROFILE = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-CHUNKS = "path string, record_id string, chunk_no long, id string, uri string, record_type string, refers_to string, payload_digest string, declared_bytes long, bytes_so_far long, digest_so_far string"
+CHUNKS = "path string, record_no long, record_id string, chunk_no long, id string, uri string, record_type string, refers_to string, payload_digest string, declared_bytes long, bytes_so_far long, digest_so_far string"
 
 
 def _open(uri: str, mode: str):
@@ -66,31 +73,54 @@ def _sha1(raw: bytes) -> str:
     return base64.b32encode(raw).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and length of each payload."""
-    for batch in batches:
-        digest, size = [], []
-        for x in batch.column("payload"):
-            data = memoryview(x.as_buffer()) if x.is_valid else b""
-            h = hashlib.sha1(usedforsecurity=False)
-            for k in range(0, len(data), CHUNK):
-                h.update(data[k : k + CHUNK])
-            digest.append(_sha1(h.digest()))
-            size.append(len(data))
-        at = batch.schema.get_field_index("payload")
-        rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(digest), pa.array(size, pa.int64())], names=[*(n for n in batch.schema.names if n != "payload"), "digest", "size"])
-
-
-def plan_records(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
-    """``pages(row, id, payload)`` -> ``(row, digest, size, first, record_type)``: ``first`` is the smallest id with
-    the same payload; payloads under ``least_revisit`` bytes are all responses."""
-    kind = pages.schema["id"].dataType.simpleString()
-    known = pages.select("row", "id", "payload").mapInArrow(_digests, f"row long, id {kind}, digest string, size long")
-    first = known.groupBy("digest").agg(F.min("id").alias("first"))
-    out = known.join(first, "digest")
-    whole = (F.col("size") < least_revisit) | F.col("id").eqNullSafe(F.col("first"))
-    return out.select("row", "digest", "size", F.when(~whole, F.col("first").cast("string")).alias("refers"), F.when(whole, "response").otherwise("revisit").alias("record_type"))
+def _cutter(chunk_bytes: int, least_revisit: int, kind: pa.DataType):
+    """(id, uri, payload) -> head rows (chunk number -1) and chunk rows. A payload's chunks come with every page
+    that may be the first with that payload: none before it in this task has a smaller id."""
+    names = ["row", "chunk_no", "id", "uri", "key", "digest", "size", "data"]
+    kinds = [pa.int64(), pa.int64(), kind, pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, best, out, held = TaskContext.get().partitionId() << 36, {}, [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        for batch in batches:
+            for page, uri, payload in zip(*(batch.column(c) for c in ("id", "uri", "payload")), strict=True):
+                data = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
+                sha, key = hashlib.sha1(usedforsecurity=False), hashlib.sha256()
+                for k in range(0, len(data), CHUNK):
+                    sha.update(data[k : k + CHUNK])
+                    key.update(data[k : k + CHUNK])
+                place = (not page.is_valid, page.as_py() if page.is_valid else 0)
+                out.append((row, -1, page.as_py(), uri.as_py(), key.digest(), _sha1(sha.digest()), len(data), None))
+                if len(data) < least_revisit or place <= best.get(key.digest(), place):
+                    best[key.digest()] = place
+                    for no, k in enumerate(range(0, len(data), chunk_bytes)):
+                        part = bytes(data[k : k + chunk_bytes])
+                        out.append((row, no, None, None, None, None, None, part))
+                        held += len(part)
+                        if held >= 4 << 20:
+                            yield flush()
+                            out, held = [], 0
+                row += 1
+                if len(out) >= 1000:
+                    yield flush()
+                    out, held = [], 0
+        yield flush()
+
+    return run
+
+
+def plan_records(heads: DataFrame, least_revisit: int = 0) -> DataFrame:
+    """``heads(row, id, key, size, ...)`` with ``record_type`` and, of a revisit, ``refers`` and ``refers_row``: the smallest id with
+    the same payload; payloads under ``least_revisit`` bytes are all responses. Of a key, however frequent,
+    at most ``SALTS`` rows meet in a task, and each of these meets its share of the heads."""
+    dealt = heads.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    some = dealt.groupBy("key", "salt").agg(F.min(place).alias("first"))
+    first = some.groupBy("key").agg(F.min("first").alias("first"))
+    known = some.select("key", "salt").join(first, "key")
+    out = dealt.join(known, ["key", "salt"])
+    whole = (F.col("size") < least_revisit) | F.col("id").eqNullSafe(F.col("first.id"))
+    return out.withColumns({"refers": F.when(~whole, F.col("first.id").cast("string")), "refers_row": F.when(~whole, F.col("first.row")), "record_type": F.when(whole, "response").otherwise("revisit")}).drop("salt", "first", "key")
 
 
 def _header(pairs: list[tuple[str, str]]) -> bytes:
@@ -106,31 +136,34 @@ def _urn(row: int) -> str:
 
 
 def _writer(folder: str, level: int):
-    """Chunks sorted by (row, chunk number) -> one archive; yields its path and counts."""
+    """Rows sorted by (row, chunk number), a head before its chunks -> one archive; yields its path and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path, temp = f"{folder}/part-{part:06d}.warc.gz", f"{folder}/part-{part:06d}.{uuid.uuid4().hex}.tmp"
-        out, gz, n, size = None, None, 0, 0
+        out, gz, n, size, left = None, None, 0, 0, 0
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
                     out = _open(temp, "wb")
-                if r["chunk_no"] == 0:
+                if r["chunk_no"] < 0:
                     n += 1
                     gz = zlib.compressobj(level, zlib.DEFLATED, 31)
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['size']}\r\n\r\n".encode()
                     full = r["record_type"] == "response"
+                    left = r["size"] if full else 0
                     head = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", _urn(r["row"])), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(r["uri"])), ("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("Page-ID", _clean(r["id"])), ("Payload-Length", str(r["size"]))]
                     if not full:
-                        head += [("WARC-Profile", PROFILE), ("Refers-To-Page", _clean(r["refers"]))]
-                    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + (r["size"] if full else 0)))]
+                        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(r["refers_row"])), ("Refers-To-Page", _clean(r["refers"]))]
+                    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + left))]
                     out.write(gz.compress(_header(head) + http))
-                if r["data"] is not None:
+                elif left:  # chunks of a page that turned out to be a revisit go no further
                     out.write(gz.compress(r["data"]))
                     size += len(r["data"])
-                if r["chunk_no"] == r["chunks"] - 1:
+                    left -= len(r["data"])
+                if not left and gz is not None:
                     out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+                    gz = None
         if out is not None:
             out.close()
             _move(temp, path)
@@ -142,29 +175,35 @@ def _writer(folder: str, level: int):
 def write_archives(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", least_revisit: int = 0, chunk_bytes: int = CHUNK, level: int = 1) -> DataFrame:
     """Writes the archives; returns their table ``(path, records, payload_bytes)``."""
     spark = df.sparkSession
-    pages = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    plan = plan_records(pages, least_revisit)
-    # a revisit's payload is not written, so only responses are cut in chunks
-    parts = f"transform(sequence(0, greatest(0, cast(ceil(length(payload) / {chunk_bytes}) as int) - 1)), k -> substring(payload, k * {chunk_bytes} + 1, {chunk_bytes}))"
-    cut = pages.select("row", F.col("id").cast("string").alias("id"), "uri", F.posexplode(F.expr(parts)).alias("chunk_no", "data")).join(plan, "row")
-    cut = cut.where("record_type = 'response' or chunk_no = 0")
-    chunks = F.when(F.col("record_type") == "response", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / chunk_bytes))).otherwise(F.lit(1)).alias("chunks")
-    rows = cut.select("row", "id", "uri", "chunk_no", chunks, "digest", "size", "refers", "record_type", F.when(F.col("record_type") == "response", F.col("data")).alias("data"))
-    folder = new_path(spark, "warc")
-    return saved(rows.repartition("row").sortWithinPartitions("row", "chunk_no").mapInArrow(_writer(folder, level), "path string, records long, payload_bytes long"), "archives")
+    pages = df.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("string").cast("binary").alias("payload"))
+    kind = pages.schema["id"].dataType
+    table = f"row long, chunk_no long, id {kind.simpleString()}, uri string, key binary, digest string, size long, data binary"
+    cut = saved(pages.mapInArrow(released(_cutter(chunk_bytes, least_revisit, to_arrow_type(kind))), table), "pages")
+    heads = cut.where("chunk_no < 0").select("row", "chunk_no", "id", "uri", "key", "digest", "size")
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    archives = max(spark.sparkContext.defaultParallelism, -(-total // ARCHIVE))
+    planned = plan_records(heads, least_revisit).withColumn("id", F.col("id").cast("string"))
+    rows = planned.unionByName(cut.where("chunk_no >= 0").select("row", "chunk_no", "data"), allowMissingColumns=True)
+    write = released(_writer(new_path(spark, "warc"), level))
+    return saved(rows.repartition(archives, "row").sortWithinPartitions("row", "chunk_no").mapInArrow(write, "path string, records long, payload_bytes long"), "archives")
 
 
 class _Reader:
-    """Bytes of a file of gzip members, as they are asked for."""
+    """Bytes of a file, of gzip members or plain, as they are asked for."""
 
     def __init__(self, path: str):
-        self.file, self.gz, self.buffer, self.spare = _open(path, "rb"), zlib.decompressobj(31), bytearray(), b""
+        self.file, self.buffer = _open(path, "rb"), bytearray()
+        self.spare = self.file.read(1 << 16)
+        self.gz = zlib.decompressobj(31) if self.spare[:2] == b"\x1f\x8b" else None
 
     def more(self) -> bool:
         while True:
-            data = self.spare or self.file.read(1 << 16)
+            data, self.spare = self.spare or self.file.read(1 << 16), b""
             if not data:
                 return False
+            if self.gz is None:
+                self.buffer += data
+                return True
             if self.gz.eof:
                 self.gz = zlib.decompressobj(31)
             plain = self.gz.decompress(data, 1 << 20)
@@ -193,17 +232,25 @@ class _Reader:
 
 
 def records(path: str, chunk_bytes: int = CHUNK) -> Iterator[dict]:
-    """Chunk rows of an archive, in order."""
-    r = _Reader(path)
+    """Chunk rows of an archive, in order. The payload of an HTTP message is what follows its header, that of any
+    other record its whole block; what a record does not declare is null."""
+    r, number = _Reader(path), 0
     try:
         while (head := r.until(b"\r\n\r\n")) is not None:
-            lines = head.split(b"\r\n")
-            if lines[0] != VERSION:
+            lines = head.lstrip(b"\r\n").split(b"\r\n")
+            if lines[0] not in VERSIONS:
                 raise ValueError(f"{path}: not a WARC record")
-            h = {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
-            http = r.until(b"\r\n\r\n")
-            left = int(h["content-length"]) - len(http) - 4
-            row = {"path": path, "record_id": h["warc-record-id"], "id": h["page-id"] or None, "uri": h["warc-target-uri"], "record_type": h["warc-type"], "refers_to": h.get("refers-to-page") or None, "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "declared_bytes": int(h["payload-length"])}
+            h = {k.decode().strip().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
+            left = int(h["content-length"])
+            if left and h.get("content-type", "").startswith("application/http") and h.get("warc-type") in ("response", "revisit"):
+                http = r.until(b"\r\n\r\n")
+                left -= len(http or b"") + 4
+            if left < 0:
+                raise ValueError(f"{path}: a record ends inside its HTTP header")
+            digest, size = h.get("warc-payload-digest"), h.get("payload-length")
+            row = {"path": path, "record_no": number, "record_id": h.get("warc-record-id"), "id": h.get("page-id") or None, "uri": h.get("warc-target-uri"), "record_type": h.get("warc-type")}
+            row |= {"refers_to": h.get("refers-to-page") or h.get("warc-refers-to"), "payload_digest": digest and digest.removeprefix("sha1:"), "declared_bytes": int(size) if size else None}
+            number += 1
             sha, so_far, no = hashlib.sha1(usedforsecurity=False), 0, 0
             while True:
                 data = r.take(min(left, chunk_bytes))
@@ -241,14 +288,18 @@ def _reading(chunk_bytes: int, with_data: bool):
 
 
 def read_chunks(archives: DataFrame, chunk_bytes: int = CHUNK, with_data: bool = True) -> DataFrame:
-    """The chunked record table of ``archives(path)``; a record without bytes has one empty chunk."""
-    return archives.select("path").repartition("path").mapInArrow(_reading(chunk_bytes, with_data), CHUNKS + (", data binary" if with_data else ""))
+    """The chunked record table of ``archives(path)``; a record without bytes has one empty chunk. An archive is a
+    task's unit, and there are as many tasks as archives."""
+    paths = archives.select("path")
+    dealt = paths.repartitionByRange(max(1, paths.count()), "path")
+    return dealt.mapInArrow(released(_reading(chunk_bytes, with_data)), CHUNKS + (", data binary" if with_data else ""))
 
 
 def read_records(archives: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per record, without its bytes. For a response, length and digest are those of the
     bytes read; one that differs from its header is an error."""
-    per = read_chunks(archives, chunk_bytes, False).groupBy("path", "record_id").agg(F.max_by(F.struct("id", "uri", "record_type", "refers_to", "payload_digest", "declared_bytes", "bytes_so_far", "digest_so_far"), "chunk_no").alias("r"))
+    fields = ("record_id", "id", "uri", "record_type", "refers_to", "payload_digest", "declared_bytes", "bytes_so_far", "digest_so_far")
+    per = read_chunks(archives, chunk_bytes, False).groupBy("path", "record_no").agg(F.max_by(F.struct(*fields), "chunk_no").alias("r"))
     bad = "r.record_type = 'response' and (r.digest_so_far <> r.payload_digest or r.bytes_so_far <> r.declared_bytes)"
-    size, digest = (F.expr(f"if({bad}, raise_error(concat('payload differs from its header: ', record_id)), if(r.record_type = 'response', r.{a}, r.{b}))") for a, b in (("bytes_so_far", "declared_bytes"), ("digest_so_far", "payload_digest")))
-    return per.select("record_id", "r.id", "r.uri", size.cast("long").alias("payload_bytes"), digest.cast("string").alias("payload_digest"), "r.record_type", "r.refers_to")
+    size, digest = (F.expr(f"if({bad}, raise_error(concat('payload differs from its header: ', r.record_id)), if(r.record_type = 'revisit', coalesce(r.{b}, r.{a}), r.{a}))") for a, b in (("bytes_so_far", "declared_bytes"), ("digest_so_far", "payload_digest")))
+    return per.select("r.record_id", "r.id", "r.uri", size.cast("long").alias("payload_bytes"), digest.cast("string").alias("payload_digest"), "r.record_type", "r.refers_to")
