@@ -2,9 +2,9 @@
 vector machines among the languages of that family.
 
 Features are hashed byte 1- to 4-grams of the lower-cased letters of the whole text, words framed by
-spaces; counts are damped by square root and scaled to length one. The learning set is a bounded
-sample of labelled rows per language (``per_language``), chosen by a hash of the id; only its
-feature vectors reach the driver. Every machine is trained by averaged stochastic subgradients with
+spaces; counts are damped by square root and scaled to length one. Letters are lower-cased by Spark, in any
+script. The learning set is a bounded sample of labelled rows per language (``per_language``, and ``in_all``
+for all languages), chosen by a hash of id and text; only its feature vectors reach the driver, 16 KB a row. Every machine is trained by averaged stochastic subgradients with
 a fixed seed.
 
 Rows: a null text and a text without letters are ``und`` with score 0; rows that repeat are
@@ -27,8 +27,9 @@ from .hashing import blocks, flat
 
 BLOCK = 1 << 20
 BUCKETS = 1 << 12
-#: Labelled rows per language that are learned from, at most; and languages, at most.
-PER_LANGUAGE, MAX_LANGUAGES = 300, 200
+#: Labelled rows that are learned from, at most: per language, and of all languages together, which are then
+#: learned from fewer rows each; no language is left out.
+PER_LANGUAGE, IN_ALL = 300, 60_000
 #: Family of a language code; any other code is in the family ``other``.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -37,6 +38,18 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
     "sinitic": ("zh",),
     "semitic": ("ar", "he"),
+    "turkic": ("tr", "az", "kk", "uz", "ky"),
+    "indic": ("hi", "bn", "mr", "ur", "pa", "gu", "ne", "si"),
+    "dravidian": ("ta", "te", "kn", "ml"),
+    "iranian": ("fa", "ku", "ps"),
+    "austroasiatic": ("vi", "km"),
+    "austronesian": ("id", "ms", "tl", "jv"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("ga", "cy", "gd", "br"),
+    "japonic": ("ja",),
+    "koreanic": ("ko",),
+    "hellenic": ("el",),
+    "kra-dai": ("th", "lo"),
 }
 UNKNOWN = "und"
 
@@ -147,15 +160,17 @@ def _featurize(buckets: int):
     return run
 
 
-def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> LanguageModel:
+def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, buckets: int = BUCKETS) -> LanguageModel:
     """Learns from rows where ``train`` holds and text and language are not null."""
-    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("h"))
+    counts = rows.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return LanguageModel()
+    per_language = max(1, min(per_language, in_all // len(counts)))
     # a bound on a uniform hash gives about as many rows as wanted; the exact number is cut below
     wish = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 40, int((1 << 40) * (per_language + 4 * per_language**0.5) / r["count"]))))])
-    sample = rows.where(F.col("h") < wish[F.col("lang")]).mapInArrow(_featurize(buckets), "x binary, lang string, h long").toPandas()
+    few = rows.where(F.col("h") < wish[F.col("lang")]).dropDuplicates(["lang", "h"])  # rows that repeat are one
+    sample = few.mapInArrow(_featurize(buckets), "x binary, lang string, h long").toPandas()
     sample = sample.sort_values(["lang", "h", "x"], kind="stable").groupby("lang", sort=True).head(per_language)
     x = np.stack([np.frombuffer(v, np.float32) for v in sample["x"]]) if len(sample) else np.zeros((0, buckets), np.float32)
     lang = sample["lang"].to_numpy()
@@ -202,5 +217,5 @@ def _predictor(model: LanguageModel):
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, lang_pred, score)``."""
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_predictor(model), f"id {kind}, lang_pred string, score double")
+    out = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).mapInArrow(_predictor(model), f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
