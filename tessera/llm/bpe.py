@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 from .hashing import PIECE, blocks, distinct, flat
 from .memory import released
 
-#: Buckets of word hashes: what is encoded together. Pre-tokens of documents in one row, about.
-BUCKET_BITS = 10
-BUCKETS, GROUP = 1 << BUCKET_BITS, 1 << 16
+#: Bits of a bucket of word hashes, at least and at most, and documents for which one more is spent: words of
+#: a bucket are encoded together. The number of a chunk's row of frequencies. Pre-tokens of documents in one row, about.
+LEAST_BITS, MOST_BITS, DOCUMENTS = 10, 14, 1 << 24
+MARK, GROUP = 1 << 20, 1 << 16
 #: Distinct words of a bucket that a task remembers.
 KNOWN = 1 << 20
 #: Classes of characters in the splitting pattern.
@@ -150,21 +151,21 @@ def _unpack(data: bytes, arrays: int) -> tuple:
     return (*out, raw[at:])
 
 
-def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want: str) -> Iterator[pa.RecordBatch]:
+def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want: str, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk: its distinct words, one row per bucket of their hashes, or its documents.
 
     Words are compared by their bytes; a hash only deals them to buckets. They are in the order of their
     buckets; documents refer to them in the order of how often they occur (to a power of two), so that
-    indices are small. The row ``BUCKETS`` has those powers.
+    indices are small. The row ``MARK`` has those powers.
     """
     starts = split(buf, offsets)
     found, codes = distinct(buf, starts, np.append(starts[1:], len(buf)))
     words, n = found.to_pylist(), len(found)
-    bucket = np.array([zlib.crc32(w) for w in words], np.int64) >> (32 - BUCKET_BITS)
+    bucket = np.array([zlib.crc32(w) for w in words], np.int64) >> (32 - bits)
     dealt = np.argsort(bucket, kind="stable")
     if want == "words":
-        cut = np.searchsorted(bucket[dealt], np.arange(BUCKETS + 1)).tolist()
-        some = [k for k in range(BUCKETS) if cut[k] < cut[k + 1]]
+        cut = np.searchsorted(bucket[dealt], np.arange((1 << bits) + 1)).tolist()
+        some = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
         own = [[words[i] for i in dealt[cut[k] : cut[k + 1]].tolist()] for k in some]
         yield _rows(chunk, some, n, ids.type, [None] * len(some), [_pack(np.array([len(w) for w in x]), tail=b"".join(x)) for x in own])
         return
@@ -172,9 +173,9 @@ def _chunk(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array, chunk: int, want
     place = np.empty(n, np.int64)
     place[dealt[np.argsort(-power, kind="stable")]] = np.arange(n)
     index, cut = place[codes], np.searchsorted(starts, offsets)
-    yield _rows(chunk, [BUCKETS], n, ids.type, [None], [_pack(power)])
+    yield _rows(chunk, [MARK], n, ids.type, [None], [_pack(power)])
     for no, (i, j) in enumerate(blocks(cut, GROUP)):
-        yield _rows(chunk, [BUCKETS + 1 + no], n, ids.type, [ids[i:j].to_pylist()], [_pack(np.diff(cut[i : j + 1]), index[cut[i] : cut[j]])])
+        yield _rows(chunk, [MARK + 1 + no], n, ids.type, [ids[i:j].to_pylist()], [_pack(np.diff(cut[i : j + 1]), index[cut[i] : cut[j]])])
 
 
 def _rows(chunk: int, no: list[int], words: int, kind: pa.DataType, ids: list, payload: list[bytes]) -> pa.RecordBatch:
@@ -190,7 +191,7 @@ def _name(buf: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _splitter(chunk_bytes: int, want: str):
+def _splitter(chunk_bytes: int, want: str, bits: int):
     """Chunks of a partition. ``want``: 'words' or 'documents', the other kind is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def _splitter(chunk_bytes: int, want: str):
             buf, off, _ = flat(batch.column(1))
             for i, j in blocks(off, chunk_bytes):
                 part, own, ids = buf[off[i] : off[j]], off[i : j + 1] - off[i], batch.column(0)[i:j]
-                yield from _chunk(part, own, ids, _name(part, own, ids), want)
+                yield from _chunk(part, own, ids, _name(part, own, ids), want, bits)
 
     return run
 
@@ -240,11 +241,11 @@ def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, no, words, ids, payload in zip(*(batch.column(x).to_pylist() for x in ("chunk", "no", "words", "ids", "payload")), strict=True):
             if c != chunk:
                 chunk, parts, last, table = c, [], -1, None
-            if no <= BUCKETS:
+            if no <= MARK:
                 if no == last:  # the input holds the same rows again
                     continue
                 last = no
-                if no < BUCKETS:
+                if no < MARK:
                     parts.append(_unpack(payload, 2)[:2])
                     continue
                 sizes = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
@@ -265,17 +266,19 @@ def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([flat_ids[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], names=["id", "ids"])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, bucket_bits: int | None = None) -> DataFrame:
     """``(id_col, ids, n_tokens)``: ``ids`` is binary, little-endian unsigned 32-bit integers.
 
     Special tokens are ordinary text. ``ranks_path`` must be readable on the executors, and
-    ``pattern`` must be the one that :func:`split` implements.
+    ``pattern`` must be the one that :func:`split` implements. The buckets of words, each a unit of work, are
+    so many that follow from the number of documents, unless ``bucket_bits`` is given.
     """
+    bits = bucket_bits if bucket_bits is not None else min(MOST_BITS, LEAST_BITS + (df.count() // DOCUMENTS).bit_length())
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("payload", T.BinaryType())])
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = source.mapInArrow(released(_splitter(chunk_bytes, "words")), schema)
-    documents = source.mapInArrow(released(_splitter(chunk_bytes, "documents")), schema)
+    words = source.mapInArrow(released(_splitter(chunk_bytes, "words", bits)), schema)
+    documents = source.mapInArrow(released(_splitter(chunk_bytes, "documents", bits)), schema)
     encoded = words.repartition("no").sortWithinPartitions("no").mapInArrow(released(_encoder(ranks_path, pattern)), schema)
     together = encoded.union(documents).repartition("chunk").sortWithinPartitions("chunk", "no")
     out = together.mapInArrow(released(_assembler), T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
