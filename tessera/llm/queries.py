@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, importance, langid, lsh_forest, mixing, pii, pq_dedup, sharding, warc
+from .oracles import ORACLES
 from .store import saved
 
 #: Production parameters.
@@ -29,9 +30,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2  # unknown without an id: not learned from
     model = langid.fit(docs, ~held_out)
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,9 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out, _ = mixing.mix(docs, max_repeat=MAX_REPEAT)
-    return out.select("doc_id", "source", F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_block").alias("block"), F.col("_mix_key").alias("block_key"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
+    out, _ = mixing.mix(saved(docs, "tokens"), tokens_col="n_tokens", max_repeat=MAX_REPEAT)
+    return out.select("doc_id", "source", "n_tokens", F.col("_mix_block").alias("block"), F.col("_mix_key").alias("block_key"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +90,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_embedding_dedup, op4_minhash_dedup, op5_warc, op6_pii, op7_quality, op8_sharding, op9_ann, op10_mixing, pipeline)}
 
-#: DuckDB SQL, where it can express the query.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
