@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,11 +18,13 @@ def ship(spark) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera.zip")
+    folder = tempfile.mkdtemp(prefix="tessera-code-")  # the driver's; Spark hands the archive to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tessera.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(here):
+        for base, _, names in os.walk(here):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(base, name)
                     z.write(full, os.path.join("tessera", os.path.relpath(full, here)))
     sc.addPyFile(path)

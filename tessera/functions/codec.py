@@ -43,6 +43,17 @@ def fixed_decode(h: str, size: int) -> Column:
     return F.expr(f"cast(conv(array_join(reverse(transform(sequence(1, {size}), i -> substr({h}, 2 * i - 1, 2))), ''), 16, 10) as bigint)")
 
 
+def trailer_hex(seq: str, kind: str) -> Column:
+    """The eight bytes after a key: its kind, then the 56 bits of its sequence, little-endian."""
+    return F.concat(fixed_hex(kind, 1), fixed_hex(seq, 7))
+
+
+def trailer_decode(h: str) -> Column:
+    """Sequence and kind of a trailer; a kind other than the two is null."""
+    kind = F.conv(F.expr(f"left({h}, 2)"), 16, 10).cast("int")
+    return F.struct(fixed_decode(f"substr({h}, 3)", 7).alias("seq"), F.when(kind.isin(0, 1), kind).alias("vtype"))
+
+
 def slice_hex(h: str) -> Column:
     """A length-prefixed slice: the length as a variable-length integer, then the bytes ``h``."""
     n = f"cast(length({h}) div 2 as bigint)"

@@ -13,6 +13,12 @@ def fold(edits: DataFrame) -> DataFrame:
     return edits.withColumn("_r", F.row_number().over(w)).where("_r = 1 and is_add = 1").drop("_r", "is_add")
 
 
+def apply(base: DataFrame, edits: DataFrame) -> DataFrame:
+    """The version after ``base(level, number)`` and some edits: what they add, and of the base what none deletes."""
+    before = base.select(F.lit(None).cast("long").alias("edit_id"), F.lit(1).alias("is_add"), "level", "number")
+    return fold(before.union(edits.select(F.col("edit_id").cast("long"), "is_add", "level", "number"))).select("level", "number")
+
+
 def live(*versions: DataFrame) -> DataFrame:
     """Distinct file numbers of any version still in use."""
     out = versions[0].select("number")

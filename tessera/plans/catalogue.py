@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions.checksum import checksum
 from ..functions.records import BITS_PER_KEY, MULTIPLIER, SEED
 from ..operators import batch, levels, manifest, picking, resolve
 from ..operators.intervals import ordered
@@ -221,6 +222,10 @@ def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIVE = EDITS + ", live AS (SELECT level, number, edit_id FROM (SELECT *, row_number() OVER (PARTITION BY level, number ORDER BY edit_id DESC, is_add DESC) AS r FROM edits) WHERE r = 1 AND is_add = 1)"
 simple("q35_manifest_fold", f"WITH {LIVE} SELECT * FROM live", manifest.fold, src.edits)
 simple("q35b_edit_summary", f"WITH {EDITS} SELECT edit_id, string_agg(t, ' ' ORDER BY t) AS summary FROM (SELECT edit_id, CASE WHEN is_add = 1 THEN '+' ELSE '-' END || level || '-' || number AS t FROM edits) GROUP BY edit_id", manifest.summary, src.edits)
+query("q36b_new_version", f"""WITH {EDITS}, base AS (SELECT level, number FROM files WHERE level >= 1), last AS (SELECT level, number, max_by(is_add, 2 * edit_id + is_add) AS is_add FROM edits GROUP BY level, number)
+  SELECT level, number FROM last WHERE is_add = 1 UNION SELECT level, number FROM base ANTI JOIN last USING (level, number)""")(
+    lambda s, d: manifest.apply(src.files(s, d).where("level >= 1"), src.edits(s, d))
+)
 query("q36_live_files", f"WITH {LIVE} SELECT number FROM live UNION SELECT number FROM files WHERE level = 2")(lambda s, d: manifest.live(manifest.fold(src.edits(s, d)), src.files(s, d).where("level = 2")))
 LISTING = "names AS (SELECT CASE i % 4 WHEN 0 THEN lpad(CAST(i AS VARCHAR), 6, '0') || '.ldb' WHEN 1 THEN lpad(CAST(i AS VARCHAR), 6, '0') || '.log' WHEN 2 THEN 'MANIFEST-' || lpad(CAST(i AS VARCHAR), 6, '0') ELSE lpad(CAST(i AS VARCHAR), 6, '0') || CASE WHEN i % 8 = 3 THEN '.sst' ELSE '.dbtmp' END END AS name FROM (SELECT DISTINCT user_id AS i FROM events) UNION ALL SELECT 'CURRENT' UNION ALL SELECT 'LOCK' UNION ALL SELECT 'notes.txt')"
 PARSED = LISTING + """, parsed AS (SELECT name, CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN 'manifest' WHEN regexp_full_match(name, '[0-9]+[.]log') THEN 'log'
@@ -252,6 +257,12 @@ simple("q41_varint_length", f"WITH {OPLOG} SELECT seq * 977 * seq AS x, CAST({vl
 simple("q41b_varint_round_trip", f"WITH {OPLOG} SELECT seq * 977 AS x, seq * 977 AS back, CAST({vlen('seq * 977')} AS INT) AS n FROM oplog", lambda d: d.select((F.col("seq") * 977).alias("x")).withColumn("h", codec.varint_hex("x")).select("x", codec.varint_decode("h").alias("back"), F.expr("cast(length(h) / 2 as int)").alias("n")))
 simple("q41c_fixed_round_trip", f"WITH {OPLOG} SELECT seq, seq AS back, right(upper(lpad(to_hex(seq), 8, '0')), 2) AS first_byte FROM oplog", lambda d: d.select("seq").withColumn("h", codec.fixed_hex("seq", 4)).select("seq", codec.fixed_decode("h", 4).alias("back"), F.substring("h", 1, 2).alias("first_byte")))
 LCP = "CAST(len(list_filter(generate_series(1, least(length({a}), length({b})) // 2), lambda i: left({a}, 2 * i) = left({b}, 2 * i))) AS INT)"
+simple(
+    "q41d_trailer",
+    f"WITH {OPLOG} SELECT seq * 70368744177 AS seq, vtype, upper(lpad(to_hex(vtype), 2, '0')) AS kind, upper(right(lpad(to_hex(seq * 70368744177), 14, '0'), 2)) AS first_byte, upper(left(lpad(to_hex(seq * 70368744177), 14, '0'), 2)) AS last_byte FROM oplog",
+    lambda d: d.select((F.col("seq") * 70368744177).alias("seq"), "vtype").withColumn("h", codec.trailer_hex("seq", "vtype")).withColumn("back", codec.trailer_decode("h"))
+    .select("back.seq", "back.vtype", F.substring("h", 1, 2).alias("kind"), F.substring("h", 3, 2).alias("first_byte"), F.substring("h", 15, 2).alias("last_byte")),
+)
 KEYS_SQL = """keys AS (SELECT DISTINCT CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'é' WHEN 2 THEN '中' ELSE '😀' END || CAST(user_id AS VARCHAR) || event_type AS k FROM events),
   numbered AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS n, hex(encode(k)) AS h, hex(encode(lag(k) OVER (ORDER BY k))) AS hp, lead(k) OVER (ORDER BY k) AS nxt, hex(encode(lead(k) OVER (ORDER BY k))) AS hn FROM keys)"""
 
@@ -295,6 +306,13 @@ query("q45b_byte_hash", f"""WITH {KEYS_SQL}, w AS (SELECT k, h, CAST(length(h) /
 )
 
 
+_REMAINDERS = "SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), generate_series(1, 8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) x(b)"
+query("q45c_checksum", f"""WITH {KEYS_SQL}, r AS ({_REMAINDERS}), b AS (SELECT k, list_transform(generate_series(0, length(h) // 2 - 1), lambda i: CAST({byte_sql('h', 'i')} AS BIGINT)) AS bytes FROM numbered)
+  SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM b, r""")(
+    lambda s, d: names(s, d).withColumn("crc", checksum(F.col("k").cast("binary")))
+)
+
+
 @query("q46_bloom_no_false_negative", f"WITH {PLACED} SELECT number, count(DISTINCT k) AS present, 0::BIGINT AS missed, true AS few_others FROM placed GROUP BY number")
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run's filter asked for its keys, which it may not miss, and for as many others, of which few may match."""
