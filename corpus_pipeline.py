@@ -13,7 +13,7 @@ from tessera import ship
 from tessera.llm import bpe, importance, lsh_forest, mixing, pii
 from tessera.llm.queries import TOKENIZER
 from tessera.llm.ranks import ranked
-from tessera.llm.store import saved
+from tessera.llm.store import discard, saved, scratch
 
 #: No source is taken more than so often by the mixture.
 MAX_REPEAT = 1.25
@@ -100,8 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again. A stage's own working tables go when it is
+    written, and its input with them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(saved(stage(spark, before, sf_dir), name))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

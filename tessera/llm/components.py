@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import discard, saved
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.union(low).distinct(), "edges")
+        old, e = e, saved(small.union(low).distinct(), "edges")
+        discard(old)
         before, mark = mark, _mark(e)
         if mark == before:
             break

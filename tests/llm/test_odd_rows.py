@@ -12,6 +12,8 @@ from test_operators import groups_of, tokens_of
 
 from tessera.llm import importance, mixing
 from tessera.llm.queries import quality
+from tessera.llm.store import discard, saved, scratch
+from tessera.sources import paths
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 GOOD = "the river carries clear water past the old stone mill and the quiet green fields of summer"
@@ -62,6 +64,19 @@ def test_near_duplicates_keeps_unlike_texts_of_an_id(spark, tmp_path):
         assert left == sorted(want, key=str)
 
 
+def test_working_tables_go(spark):
+    with scratch(spark) as keep:
+        gone, kept = saved(spark.range(3), "gone"), keep(saved(spark.range(4), "kept"))
+        with scratch(spark) as inner:
+            deep = inner(saved(spark.range(5), "deep"))
+        assert gone.count() == 3 and deep.count() == 5
+    there = lambda t: paths.names(spark, t._work_path) != []
+    assert there(kept) and not there(gone) and not there(deep)
+    discard(kept)
+    discard(spark.range(1))
+    assert not there(kept)
+
+
 def hashes(spark, ids, *before):
     """Spark's hash of each id after other values."""
     d = spark.createDataFrame([(i,) for i in set(ids)], "i long").select("i", F.xxhash64(*before, "i").alias("h"))

@@ -140,6 +140,18 @@ def test_language_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.LanguageModel()).collect()} == {"und"}
 
 
+def test_language_of_long_texts_and_other_scripts(spark):
+    """Texts far beyond a window, many languages of few rows, columns that clash with names used inside."""
+    words = {"en": "the house and the garden of my friend", "de": "das Haus und der Garten von meinem Freund", "ru": "дом и сад моего друга", "el": "το σπίτι και ο κήπος του φίλου μου", "ja": "友達の家と庭です", "xx": "zub grok plim tarn veld"}
+    rows = [(i, " ".join([w] * (1 + i % 3)), lang) for i, (lang, w) in enumerate(words.items()) for i in range(i * 10, i * 10 + 10)]
+    rows += [(1000 + i, f"{w} " * 40_000, None) for i, w in enumerate(words.values())] + [(2000, words["ru"].upper(), None), (None, words["de"], "de"), (None, words["de"], "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("id", "h", "x", "score", "lang_pred")})
+    model = langid.fit(d, F.lit(True), in_all=30)
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, model).collect()}
+    assert [got[1000 + i] for i in range(len(words))] == list(words) and got[2000] == "ru" and got[None] == "de"
+
+
 # 3
 
 
@@ -184,6 +196,25 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert pq_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def sized_vectors(spark):
+    """Huge, tiny and long vectors; columns that clash with names used inside."""
+    line = [i / 5000 for i in range(1, 5001)]
+    rows = [(1, [1e308, 1e308, 0.0, 0.0]), (2, [1e-308, 1e-308, 0.0, 0.0]), (3, [1.0, 0.9, 0.0, 0.0]), (4, line), (5, [v * 1e300 for v in line]), (6, [-v for v in line])]
+    d = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    return d.withColumns({c: F.lit(7) for c in ("x", "v", "id", "h1", "rep", "list", "part", "kind", "dim", "region", "node", "component", "count")})
+
+
+def test_vectors_of_any_size_link(spark):
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.near_duplicates(sized_vectors(spark)).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True)}
+
+
+def test_vectors_of_any_size_are_found(spark):
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in ann.search(sized_vectors(spark), F.col("vec_id").isin(1, 6)).collect()}
+    near = round(1.9 / (2 * 1.81) ** 0.5, 9)
+    assert got == {(1, 1): (2, 1.0), (1, 2): (3, near), (6, 1): (4, -1.0), (6, 2): (5, -1.0)}
+
+
 # 4
 
 
@@ -445,6 +476,19 @@ def test_mixture(spark, docs, odd, none):
     assert mixing.mix(none, max_repeat=2.0)[0].count() == 0
 
 
+def test_mixture_by_a_column_of_tokens(spark, none):
+    """Real numbers of tokens instead of bytes, and columns that clash with names used inside."""
+    rows = [(i, "x", "ab"[i % 2], 10 if i % 2 else 90) for i in range(100)] + [(None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").withColumns({c: F.lit(1) for c in ("key", "tokens", "rank", "before", "rows", "total", "h")})
+    out, found = mixing.mix(d, tokens_col="n", max_repeat=3.0)
+    assert found.tokens == {None: 0, "a": 4500, "b": 500}
+    copies = Counter((r["source"], r["doc_id"]) for r in out.collect())
+    assert set(copies.values()) <= {1, 2, 3} and all(n == 1 for (s, _), n in copies.items() if s != "b") and sum(n for (s, _), n in copies.items() if s == "b") == found.budgets["b"] // 10
+    assert out.columns[: len(d.columns)] == d.columns
+    with pytest.raises(ValueError):
+        mixing.source_tokens(d.limit(2).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(mixing.MAX_SOURCES)))), "s", F.lit(1))
+
+
 def test_temperature():
     tokens = {"a": 900, "b": 90, None: 10}
     for target in (0.5, 0.8, 1.05):
