@@ -1,7 +1,7 @@
 """WARC archives through a chunked record table.
 
 Writing cuts the pages into a saved table once: a head row per page (identity, digest, size) and rows (page,
-chunk number, bytes) of at most ``chunk_bytes``, made one after the other. A page's chunks are left out where its
+chunk number, compressed bytes) of at most ``chunk_bytes``, made one after the other. A page's chunks are left out where its
 task has seen the same payload under a smaller id, as it is then no response. Heads alone decide which record
 of equal payloads (by SHA-256) is the response; then heads and chunks meet in one shuffle, and chunks
 stream into the archives. Reading gives the chunk rows back, each with the digest and length of the payload
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .memory import released
-from .store import new_path, saved
+from .store import discard, new_path, saved
 
 CHUNK = 1 << 20
 #: Payload bytes of an archive, about; keys of equal payloads are dealt to so many groups.
-ARCHIVE, SALTS = 512 << 20, 256
+ARCHIVE, SALTS = 128 << 20, 256
 #: Fixed values of the format.
 VERSION, VERSIONS, PROFILE = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -94,7 +94,7 @@ def _cutter(chunk_bytes: int, least_revisit: int, kind: pa.DataType):
                 if len(data) < least_revisit or place <= best.get(key.digest(), place):
                     best[key.digest()] = place
                     for no, k in enumerate(range(0, len(data), chunk_bytes)):
-                        part = bytes(data[k : k + chunk_bytes])
+                        part = zlib.compress(data[k : k + chunk_bytes], 1)
                         out.append((row, no, None, None, None, None, None, part))
                         held += len(part)
                         if held >= 4 << 20:
@@ -158,9 +158,10 @@ def _writer(folder: str, level: int):
                     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + left))]
                     out.write(gz.compress(_header(head) + http))
                 elif left:  # chunks of a page that turned out to be a revisit go no further
-                    out.write(gz.compress(r["data"]))
-                    size += len(r["data"])
-                    left -= len(r["data"])
+                    data = zlib.decompress(r["data"])
+                    out.write(gz.compress(data))
+                    size += len(data)
+                    left -= len(data)
                 if not left and gz is not None:
                     out.write(gz.compress(b"\r\n\r\n") + gz.flush())
                     gz = None
@@ -185,7 +186,9 @@ def write_archives(df: DataFrame, id_col: str = "page_id", payload_col: str = "h
     planned = plan_records(heads, least_revisit).withColumn("id", F.col("id").cast("string"))
     rows = planned.unionByName(cut.where("chunk_no >= 0").select("row", "chunk_no", "data"), allowMissingColumns=True)
     write = released(_writer(new_path(spark, "warc"), level))
-    return saved(rows.repartition(archives, "row").sortWithinPartitions("row", "chunk_no").mapInArrow(write, "path string, records long, payload_bytes long"), "archives")
+    out = saved(rows.repartition(archives, "row").sortWithinPartitions("row", "chunk_no").mapInArrow(write, "path string, records long, payload_bytes long"), "archives")
+    discard(cut)
+    return out
 
 
 class _Reader:
