@@ -56,7 +56,7 @@ keyed AS (SELECT doc_id, source, CAST(strlen(d.t) + 1 AS BIGINT) AS size, crc, {
 one AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM keyed),
 two AS (SELECT *, row_number() OVER (ORDER BY fraction, source IS NULL, coalesce(source, ''), h, doc_id, crc, size) - 1 AS place, count(*) OVER () AS n FROM one),
 cut AS (SELECT *, CAST(place * {shards} // n AS INT) AS shard FROM two)
-SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS INT) AS slot, CAST(NULL AS INT) AS grown_shard FROM cut"""
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM cut"""
 
 
 def mixing(max_repeat: float, token_bytes: int, seed: int = 0, steps: int = 100) -> str:
