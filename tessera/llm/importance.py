@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .hashing import LOWER, U64, blocks, flat, shingles, span_hashes, words
 from .memory import released
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Labelled ids that the target model is made from, at most; the table of them is broadcast (9 bytes an id).
 MAX_LABELS = 60_000
 BUCKETS = 1 << 14

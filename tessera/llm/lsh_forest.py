@@ -42,14 +42,14 @@ from .memory import released
 from .store import saved
 
 #: Bytes of text worked on at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Rows of an Arrow batch of texts or sets.
 BATCH = 1000
 #: Rows of the sieve table that is broadcast, at most: 64 bits each, 4 MB in all.
 SIEVE = 1 << 18
 #: Rows on each side of a tile of the sweep at least, those that it holds at most, and tiles along a side up to that;
 #: rows that pass at once, and entries of the index that they meet.
-SIDE, HELD, ALONG, PASS, HITS = 1024, 8192, 64, 128, 1 << 23
+SIDE, HELD, ALONG, PASS, HITS = 1024, 4096, 64, 128, 1 << 20
 #: Hashed sets down to one part in so many below the bound are compared word by word.
 NEAR = 20
 #: Tasks among which the pairs of one text are dealt.
