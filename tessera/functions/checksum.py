@@ -11,8 +11,8 @@ from pyspark.sql.types import LongType
 
 #: The polynomial, reflected, and the mask that goes in and out.
 POLYNOMIAL, ALL = 0x82F63B78, 0xFFFFFFFF
-#: Bytes of a lane; a value of several lanes is taken apart.
-LANE = 256
+#: Values up to so many bytes are taken together; a longer one is cut in lanes, of more bytes from each bound on.
+SHORT, LANES = 256, ((0, 16), (4096, 64), (65536, 256))
 
 
 @lru_cache(maxsize=1)
@@ -32,30 +32,31 @@ def _advance(state: np.ndarray, block: np.ndarray) -> np.ndarray:
     return state
 
 
-@lru_cache(maxsize=1)
-def _skip() -> np.ndarray:
-    """What each byte of a state becomes by ``LANE`` zero bytes."""
-    return np.stack([_advance(np.arange(256, dtype=np.uint32) << np.uint32(8 * k), np.zeros((256, LANE), np.uint8)) for k in range(4)])
+@lru_cache(maxsize=len(LANES))
+def _skip(lane: int) -> list[list[int]]:
+    """What each byte of a state becomes by ``lane`` zero bytes."""
+    return [_advance(np.arange(256, dtype=np.uint32) << np.uint32(8 * k), np.zeros((256, lane), np.uint8)).tolist() for k in range(4)]
 
 
 def crc32c(data: bytes) -> int:
     """The checksum of one value: its lanes advance side by side and are then joined."""
-    pad = -len(data) % LANE if len(data) >= 4 else 0
     if len(data) < 4:
         return int(_advance(np.array([ALL], np.uint32), np.frombuffer(data, np.uint8)[None])[0]) ^ ALL
+    lane = next(n for least, n in reversed(LANES) if len(data) >= least)
+    pad = -len(data) % lane
     body = np.zeros(pad + len(data), np.uint8)
     body[pad:] = np.frombuffer(data, np.uint8)
     body[pad : pad + 4] ^= 255  # zeros in front leave a zero state alone, so the mask enters here
-    skip, state = _skip(), 0
-    for lane in _advance(np.zeros(len(body) // LANE, np.uint32), body.reshape(-1, LANE)).tolist():
-        state = int(skip[0][state & 255] ^ skip[1][state >> 8 & 255] ^ skip[2][state >> 16 & 255] ^ skip[3][state >> 24]) ^ lane
+    (a, b, c, d), state = _skip(lane), 0
+    for x in _advance(np.zeros(len(body) // lane, np.uint32), body.reshape(-1, lane)).tolist():
+        state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ x
     return state ^ ALL
 
 
 def crc32c_many(values: list) -> list[int | None]:
     """Checksums of values that may be null: short ones together, a byte of all of them at a time."""
     out: list = [None] * len(values)
-    short = [i for i, v in enumerate(values) if v is not None and len(v) <= LANE]
+    short = [i for i, v in enumerate(values) if v is not None and len(v) <= SHORT]
     short.sort(key=lambda i: -len(values[i]))
     size = np.array([len(values[i]) for i in short], np.int64)
     start, body, state = np.cumsum(size) - size, np.frombuffer(b"".join(bytes(values[i]) for i in short), np.uint8), np.full(len(short), ALL, np.uint32)
