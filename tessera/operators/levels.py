@@ -122,15 +122,15 @@ def manual_inputs(files: DataFrame, level: int, low: str, high: str, most: int =
 
 def trivial_moves(files: DataFrame, file_bytes: int = FILE) -> DataFrame:
     """Per file below the last level: files and bytes that it overlaps one and two levels down, and whether
-    it may move down as it is."""
+    it may move down as it is. A file is told by level and number: numbers may recur in other levels."""
     own = files.select("level", "number", "smallest", "largest")
 
     def below(step: int, name: str) -> DataFrame:
         g = files.select((F.col("level") - step).alias("level"), F.col("smallest").alias("r_smallest"), F.col("largest").alias("r_largest"), F.col("size").alias("z"))
-        return overlapping(own, g, ["level"]).groupBy("number").agg(F.count("*").alias(f"{name}_files"), F.sum("z").alias(f"{name}_bytes"))
+        return overlapping(own, g, ["level"]).groupBy("level", "number").agg(F.count("*").alias(f"{name}_files"), F.sum("z").alias(f"{name}_bytes"))
 
     zero = F.lit(0).cast("long")
-    out = files.where(F.col("level") < LEVELS - 1).select("level", "number").join(below(1, "next"), "number", "left").join(below(2, "grand"), "number", "left")
+    out = files.where(F.col("level") < LEVELS - 1).select("level", "number").join(below(1, "next"), ["level", "number"], "left").join(below(2, "grand"), ["level", "number"], "left")
     out = out.select("level", "number", F.coalesce("next_files", zero).alias("next_files"), F.coalesce("grand_bytes", zero).alias("grand_bytes"))
     return out.withColumn("trivial", (F.col("next_files") == 0) & (F.col("grand_bytes") <= GRANDPARENTS * file_bytes))
 
