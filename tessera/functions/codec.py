@@ -35,8 +35,8 @@ def varint_decode(h: str) -> Column:
 
 
 def fixed_hex(v: str, size: int) -> Column:
-    """Little-endian bytes."""
-    return F.expr(f"array_join(reverse(transform(sequence(1, {size}), i -> substr(lpad(hex({v}), {2 * size}, '0'), 2 * i - 1, 2))), '')")
+    """Little-endian bytes; null if the value takes more of them."""
+    return F.expr(f"if(length(hex({v})) > {2 * size}, null, array_join(reverse(transform(sequence(1, {size}), i -> substr(lpad(hex({v}), {2 * size}, '0'), 2 * i - 1, 2))), ''))")
 
 
 def fixed_decode(h: str, size: int) -> Column:
@@ -44,7 +44,7 @@ def fixed_decode(h: str, size: int) -> Column:
 
 
 def trailer_hex(seq: str, kind: str) -> Column:
-    """The eight bytes after a key: its kind, then the 56 bits of its sequence, little-endian."""
+    """The eight bytes after a key: its kind, then the 56 bits of its sequence, little-endian; null for a larger one."""
     return F.concat(fixed_hex(kind, 1), fixed_hex(seq, 7))
 
 
