@@ -213,8 +213,8 @@ def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole choice of a compaction over the file table: level, file, closure, next level, expansion, beneath."""
     files = [r.asDict() for r in src.files(spark, sf_dir).collect()]  # metadata, as the driver holds it
     c = picking.pick(files, {n: HIGH for n in range(levels.LEVELS)}, SMALL_FILE, LEVEL1)
-    rows = [(part, f["number"]) for part, fs in (("input", c.inputs), ("next", c.lower), ("beneath", c.grandparents)) for f in fs]
-    return spark.createDataFrame(rows, "part string, number long")
+    parts = (("input", c.inputs), ("next", c.lower), ("beneath", c.grandparents)) if c else ()  # no level may be due
+    return spark.createDataFrame([(part, f["number"]) for part, fs in parts for f in fs], "part string, number long")
 
 
 # manifest

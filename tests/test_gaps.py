@@ -1,4 +1,4 @@
-"""Queries over events whose ids have gaps and do not start at 0."""
+"""Queries over events whose ids have gaps and do not start at 0, over few of them and over large ids."""
 
 import duckdb
 import pytest
@@ -16,3 +16,15 @@ def test_store_holds_all_events(spark, tmp_path, ids):
     got = [(r["k"], r["seq"], r["v"]) for r in QUERIES["q49_store_compacted"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert bool(want) == bool(rows)
+
+
+def events(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_no_compaction_is_due_over_few_events(spark, tmp_path, n):
+    path = events(spark, tmp_path, [(0, 7, "click", "p")][:n])
+    out = QUERIES["q55_picked_compaction"](spark, path)
+    assert out.columns == ["part", "number"] and out.collect() == []
